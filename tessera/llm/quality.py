@@ -135,8 +135,11 @@ def fit(patterns: DataFrame, n_rules: int, rounds: int = 40) -> DataFrame:
 
 
 def judge(docs: DataFrame, text: str = "text", rules=RULES, rounds: int = 40, keep_at: float = 0.5) -> DataFrame:
-    """The statistics, ``votes``, ``posterior`` and ``kept`` of each row, with all other columns but the text."""
-    kept = [c for c in docs.columns if c != text]
+    """The statistics, ``votes``, ``posterior`` and ``kept`` of each row, with all other columns but the text.
+
+    They replace columns of such names.
+    """
+    kept = [c for c in docs.columns if c not in (text, "posterior", "kept")]
     stats = stage(votes(statistics(docs.select(*kept, text), text).drop(text), rules), "quality")
     learnt = fit(stats.groupBy("votes").agg(F.count("*").alias("n")), len(rules), rounds)
     return keyed_lookup(stats, learnt, "votes").withColumn("kept", F.col("posterior") >= keep_at)

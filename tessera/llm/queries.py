@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import quality
+from tessera.llm import mixing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
+    "op4_curriculum_mix": mixing.op4,
 }
 
 ORACLES: dict[str, str] = {}
