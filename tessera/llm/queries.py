@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import mixing, quality
+from tessera.llm import chat, mixing, packing, quality
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op4_curriculum_mix": mixing.op4,
+    "op10_chat_format": chat.op10,
+    "op9_best_fit_packing": packing.op9,
 }
 
 ORACLES: dict[str, str] = {}
