@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing, packing, quality
+from tessera.llm import chat, mixing, packing, quality, simhash, substring
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
     "op4_curriculum_mix": mixing.op4,
     "op10_chat_format": chat.op10,
     "op9_best_fit_packing": packing.op9,
+    "op6_simhash_pigeonring": simhash.op6,
+    "op5_substring_index": substring.op5,
 }
 
 ORACLES: dict[str, str] = {}

@@ -24,7 +24,9 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    return np.cumprod(np.concatenate(([1], np.full(n - 1, base, np.uint64))).astype(np.uint64))
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 _BYTE = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
@@ -50,9 +52,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
             j = i + 1
             size = int(ends[i] - a)
             up = _powers(BASE, size + 1)
-            down0 = np.uint64(1)
-            total = (_BYTE[buf[a : ends[i]]] * up[:size]).sum(dtype=np.uint64)
-            out[i] = total * down0
+            out[i] = (_BYTE[buf[a : ends[i]]] * up[:size]).sum(dtype=np.uint64)
         else:
             part = buf[a : ends[j - 1]]
             sums = np.empty(len(part) + 1, np.uint64)
