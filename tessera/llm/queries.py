@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing, packing, quality, simhash, substring
+from tessera.llm import chat, langid, mixing, packing, quality, simhash, substring, toxicity
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -11,6 +11,8 @@ QUERIES = {
     "op9_best_fit_packing": packing.op9,
     "op6_simhash_pigeonring": simhash.op6,
     "op5_substring_index": substring.op5,
+    "op2_language_ecoc": langid.op2,
+    "op7_counterfactual_toxicity": toxicity.op7,
 }
 
 ORACLES: dict[str, str] = {}
