@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, langid, mixing, packing, quality, simhash, substring, toxicity
+from tessera.llm import chat, langid, mixing, packing, quality, simhash, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -13,6 +13,8 @@ QUERIES = {
     "op5_substring_index": substring.op5,
     "op2_language_ecoc": langid.op2,
     "op7_counterfactual_toxicity": toxicity.op7,
+    "op3_warc_dictionary": warc.op3,
+    "op8_norm_sorted_top_k": topk.op8,
 }
 
 ORACLES: dict[str, str] = {}

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import keyed_lookup, stage, table
@@ -163,30 +163,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def grouped(docs: DataFrame, text: str = "text", dense: int = DENSE) -> DataFrame:
-    """``fp`` and ``component_id``, the smallest doc_id reachable, for every row; the text goes."""
-    prints = stage(fingerprints(docs.drop("component_id"), text), "fingerprints")
+    """``fp``, ``root`` (the group's least linked fingerprint) and ``component_id`` (the smallest doc_id in it) for every row; the text goes."""
+    prints = stage(fingerprints(docs.drop("component_id", "root"), text), "fingerprints")
     names = prints.columns
     owners = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "owners")
     roots = components(links(owners.select("fp"), dense=dense))
-    rooted = owners.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "n", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = owners.join(roots, F.col("fp") == F.col("node"), "left").select("fp", F.col("n").alias("copies"), "first_id", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
-    # of each fingerprint once; a root has as many as its component
-    by_fp = keyed_lookup(rooted.withColumnRenamed("n", "copies"), named, "root").select("fp", F.col("copies").alias("n"), "component_id")
-    return keyed_lookup(prints, stage(by_fp, "named"), "fp").select(*names, "component_id")
+    by_fp = keyed_lookup(rooted, named, "root").select("fp", F.col("copies").alias("n"), "root", "component_id")
+    return keyed_lookup(prints, stage(by_fp, "named"), "fp").select(*names, "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the row of the smallest doc_id, and of rows that share it the first by text."""
-    from pyspark.sql import Window
-
-    rows = docs.withColumn("__t", F.xxhash64("text"))
-    groups = grouped(rows.select("doc_id", "__t", "text"))
-    alone = Window.partitionBy("doc_id", "component_id").orderBy("__t")
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).withColumn("__r", F.row_number().over(alone)).where("__r = 1")
-    # rows alike in id and text differ in nothing that counts here; the first stays
-    out = rows.join(kept.select(F.col("doc_id").alias("__i"), F.col("__t").alias("__u")), (F.col("doc_id") == F.col("__i")) & (F.col("__t") == F.col("__u")))
-    twin = Window.partitionBy("doc_id", "__t").orderBy(F.lit(0))
-    return out.withColumn("__r", F.row_number().over(twin)).where("__r = 1").select(*docs.columns)
+    """One row of each group: that of the smallest doc_id, rows without id last; of rows that share it the first by a hash of the text."""
+    hashed = F.xxhash64(F.coalesce("text", F.lit("")))
+    groups = grouped(docs.select("doc_id", hashed.alias("__t"), "text"))
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "__t")).alias("w"))
+    first = first.select(F.col("w.doc_id").alias("__i"), F.col("w.__t").alias("__u"))
+    place = F.xxhash64("doc_id", "__t")
+    kept = docs.withColumn("__t", hashed).withColumn("__p", place)
+    first = first.withColumn("__q", F.xxhash64("__i", "__u"))
+    out = kept.join(first, (F.col("__p") == F.col("__q")) & F.col("doc_id").eqNullSafe(F.col("__i")) & (F.col("__t") == F.col("__u")))
+    # rows alike in id and text: the first stays
+    alike = Window.partitionBy("__p", "doc_id", "__t").orderBy(F.lit(0))
+    return out.withColumn("__r", F.row_number().over(alike)).where("__r = 1").select(*docs.columns)
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
