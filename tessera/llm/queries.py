@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, langid, mixing, packing, quality, simhash, substring, topk, toxicity, warc
+from tessera.llm import chat, langid, mixing, oracles, packing, quality, simhash, substring, topk, toxicity, warc
 
 QUERIES = {
     "op1_quality_rules": quality.op1,
@@ -17,4 +17,4 @@ QUERIES = {
     "op8_norm_sorted_top_k": topk.op8,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = dict(oracles.ORACLES)
