@@ -110,7 +110,8 @@ def _page_first(spark: SparkSession, sf: str) -> DataFrame:
 def _page_next(spark: SparkSession, sf: str) -> DataFrame:
     entries = catalog.from_documents(spark, sf)
     first = query.page(entries, Query("src1", sort="SizeBytes", descending=True, page_size=10))
-    return query.page_frame(entries, Query("src1", sort="SizeBytes", descending=True, page_size=10, cursor=first.next_cursor)).select("content_hash", "size_bytes")
+    rows = entries if first.has_more else store.clear(entries)
+    return query.page_frame(rows, Query("src1", sort="SizeBytes", descending=True, page_size=10, cursor=first.next_cursor)).select("content_hash", "size_bytes")
 
 
 @job("q_page_walk", f"{CATALOG} SELECT content_hash, (row_number() OVER (ORDER BY {_order('ObjectKey', False)}) - 1) // 7 AS page FROM cat WHERE namespace_id = 'src1'")
