@@ -94,3 +94,13 @@ def topic(trigger: Column | str) -> Column:
 def transition_line(from_: Column | str, trigger: Column | str, to: Column | str) -> Column:
     """A log line; where the former state isn't known, the new one stands for it."""
     return F.format_string("[state-machine] %s --(%s)--> %s", F.coalesce(col(from_), col(to)), col(trigger), col(to))
+
+
+def cursor(value: Column | str, hash_: Column | str) -> Column:
+    """The token of a page that ends with this row, base64 over JSON."""
+    return F.base64(F.to_json(F.struct(col(value).alias("v"), col(hash_).alias("h")), {"ignoreNullFields": "false"}).cast("binary"))
+
+
+def cursor_hash(token: Column | str) -> Column:
+    """The hash in a token; null where it can't be read."""
+    return F.get_json_object(F.try_to_binary(col(token), F.lit("base64")).cast("string"), "$.h")

@@ -169,3 +169,27 @@ def write_manifests(manifest: DataFrame, path: str) -> None:
 def read_manifest(spark, path: str, backup_id: str, schema) -> DataFrame:
     """The entries of a backup; none for an unknown one."""
     return spark.read.schema(schema).json(path).where(F.col("backup_id") == backup_id)
+
+
+def schedule(schedules: DataFrame, new: DataFrame) -> DataFrame:
+    """Schedules with ``new`` ones, which replace those of their schedule_id. Cron expressions are kept, not evaluated."""
+    return schedules.join(new.select("schedule_id"), "schedule_id", "left_anti").select(*schedules.columns).unionByName(new.select(*schedules.columns))
+
+
+def unschedule(schedules: DataFrame, schedule_id: str) -> DataFrame:
+    return schedules.where(F.col("schedule_id") != schedule_id)
+
+
+def schedule_listing(schedules: DataFrame) -> DataFrame:
+    return schedules.orderBy("schedule_id")
+
+
+def unknown_targets(schedules: DataFrame, targets: DataFrame) -> DataFrame:
+    """Schedules that name a target that isn't there."""
+    return schedules.join(targets.select("target_id"), "target_id", "left_anti")
+
+
+def delete_backup(points: DataFrame, manifests: DataFrame, backup_id: str) -> tuple[DataFrame, DataFrame]:
+    """Points and manifests without a backup; its blocks stay until ``garbage`` finds them."""
+    other = F.col("backup_id") != backup_id
+    return points.where(other), manifests.where(other)

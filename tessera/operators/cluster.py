@@ -116,3 +116,16 @@ def shards(spark: SparkSession, n: int) -> DataFrame:
 
 def resolve_shard(rows: DataFrame, n: int, namespace: str = "namespace_id") -> DataFrame:
     return rows.withColumn("shard_id", hashing.shard(namespace, n))
+
+
+def rebalance_progress(moves: DataFrame, done: DataFrame) -> DataFrame:
+    """(total, moved, ratio, is_complete) of the blocks to move, by those that have (an extension)."""
+    there = done.select("content_hash", F.lit(1).alias("done")).distinct()
+    sums = moves.join(there, "content_hash", "left").agg(F.count("*").alias("total"), F.count("done").alias("moved"))
+    r = F.when(F.col("total") == 0, F.lit(1.0)).otherwise(F.col("moved") / F.col("total"))
+    return sums.withColumn("ratio", r).withColumn("is_complete", F.col("moved") == F.col("total"))
+
+
+def tier_migrations(log: DataFrame, new: DataFrame) -> DataFrame:
+    """The record of migrations with new ones; they are recorded, the tier is metadata."""
+    return log.unionByName(new)

@@ -7,6 +7,7 @@ with any number of events meets no task in one array.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import datetime
@@ -235,3 +236,30 @@ def archive(entries: DataFrame, hashes: DataFrame, as_of: datetime, tier: str =
 
 def restore(entries: DataFrame, hashes: DataFrame, as_of: datetime) -> tuple[DataFrame, DataFrame]:
     return command(entries, hashes, "Restore", as_of)
+
+
+def observe(moved: DataFrame, observers: list[Callable[[DataFrame], None]], fail_fast: bool = False) -> list[Exception]:
+    """Tell observers of the rows that moved. One that fails doesn't keep the others from hearing, unless asked to."""
+    failed: list[Exception] = []
+    rows = moved.where("moved")
+    for hear in observers:
+        try:
+            hear(rows)
+        except Exception as e:  # noqa: BLE001  whatever an observer raises
+            if fail_fast:
+                raise
+            failed.append(e)
+    return failed
+
+
+def persist(save: Callable[[], None], retries: int = 3, backoff: float = 0.05) -> int:
+    """Run ``save`` again after an error, up to ``retries`` times; returns how many tries it took."""
+    for attempt in range(retries + 1):
+        try:
+            save()
+            return attempt + 1
+        except Exception:  # noqa: BLE001  the last one is raised
+            if attempt == retries:
+                raise
+            time.sleep(backoff * (attempt + 1))
+    raise AssertionError
