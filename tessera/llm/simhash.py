@@ -9,11 +9,10 @@ starting segment. Fingerprints under one key are compared, chain by chain as
 the ring says, and in full only if every chain stays within its budget.
 
 Keys with many fingerprints (a dense cluster, or a common text's neighbours) are
-not compared in pairs. There each fingerprint also names itself and each
-fingerprint one bit away, outside the key's bits; two that name the same one
-differ in at most two bits, and any two that differ in at most two name one
-together. Each is linked to the least of those that share a name: as many links
-as names, and the same groups.
+not compared in pairs. Each fingerprint in one names itself and each fingerprint
+one bit away; two that name the same one differ in at most two bits, and any two
+that differ in at most two name one together. Each is linked to the least of
+those that share a name: at most 65 links a fingerprint, and the same groups.
 
 Documents meet first by fingerprint, so that copies are one. Links join up by
 alternating large-star and small-star steps on staged edge tables; the groups'
@@ -129,12 +128,10 @@ def links(distinct: DataFrame, ring: Ring | None = None, dense: int = DENSE) ->
         viable = viable.when(F.col("start") == i, ring.within(i, difference))
     pairs = a.join(b, ["start", "key"]).where("a < b").where(viable)
     pairs = pairs.where(F.bit_count(difference) <= ring.limit).select("a", "b")
-    # every key of a crowd names itself and its neighbours by one bit outside the key
-    free = F.when(F.col("start") == 0, F.array(*[F.lit(signed(1 << n)) for n in range(64) if not ring.key_bits(0) >> n & 1]))
-    for i in starts[1:]:
-        free = free.when(F.col("start") == i, F.array(*[F.lit(signed(1 << n)) for n in range(64) if not ring.key_bits(i) >> n & 1]))
-    crowd = sized.where(F.col("crowd") > dense)
-    named = crowd.select("fp", F.explode(F.transform(F.concat(F.array(F.lit(0).cast("long")), free), lambda n: F.col("fp").bitwiseXOR(n))).alias("name"))
+    # every fingerprint of a crowd names itself and its neighbours by one bit, once
+    flips = F.array(F.lit(0).cast("long"), *[F.lit(signed(1 << n)) for n in range(64)])
+    crowd = sized.where(F.col("crowd") > dense).select("fp").distinct()
+    named = stage(crowd.select("fp", F.explode(F.transform(flips, lambda n: F.col("fp").bitwiseXOR(n))).alias("name")), "named")
     # names of one fingerprint alone are most; the others link to the least
     least = named.groupBy("name").agg(F.min("fp").alias("a"), F.count("*").alias("n"), F.max("fp").alias("z")).where("a < z")
     crowded = keyed_lookup(named, least.select("name", "a", "n"), "name").where("a < fp").select("a", F.col("fp").alias("b"))
