@@ -138,25 +138,26 @@ def links(distinct: DataFrame, ring: Ring | None = None, dense: int = DENSE) ->
     return pairs.union(crowded).distinct()
 
 
+def are_stars(edges: DataFrame) -> bool:
+    """Whether every b has one edge and is no other edge's a."""
+    n, distinct = edges.agg(F.count("*"), F.count_distinct("b")).first()
+    return n == distinct and edges.join(edges.select(F.col("b").alias("x")), F.col("a") == F.col("x"), "left_semi").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b); root is the least node reachable."""
-    edges = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b"), "edges")
-    before = None
-    while True:
+    edges = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
+    while not are_stars(edges):
         # large star: every larger neighbour moves to the least of the neighbours
         both = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).union(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
-        moved = keyed_lookup(both, least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct()
-        moved = stage(moved, "large-star")
+        moved = stage(keyed_lookup(both, least, "u").where("v > u").select(F.col("m").alias("a"), F.col("v").alias("b")).distinct(), "large-star")
         # small star: a node and its smaller neighbours move to the least of them
         least = moved.groupBy("b").agg(F.min("a").alias("m"), F.count("*").alias("n"))
         joined = keyed_lookup(moved, least, "b")
         edges = joined.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(joined.select(F.col("m").alias("a"), "b"))
         edges = stage(edges.distinct(), "small-star")
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == before:
-            return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
-        before = state
+    return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
 def grouped(docs: DataFrame, text: str = "text", dense: int = DENSE) -> DataFrame:
