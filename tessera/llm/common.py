@@ -73,11 +73,11 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_staged(df: DataFrame) -> None:
-    """Delete the files of a staged table that nothing will read any more."""
+def drop_staged(df: DataFrame, only: str = "") -> None:
+    """Delete the files of a staged table, or of its partition ``only``, that nothing will read any more."""
     spark = df.sparkSession
     jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if f"/{only}" in f}:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
 

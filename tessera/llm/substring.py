@@ -52,6 +52,9 @@ WINDOWS_PER_BUCKET = 1 << 20
 #: a million windows, 2e13 windows have less than one false match.
 BITS = 56
 CLAIMS_PER_PART = 20_000
+#: Batches enter the index in these proportions. The first leaves a run behind, which
+#: the second moves once more: a small first one keeps both below the budget for disk.
+BATCHES = (1, 3)
 RESULTS = ("n_words", "n_removed", "kept_text", "claims")
 
 
@@ -238,13 +241,19 @@ class FingerprintIndex:
             self.compact()
         return found.where(F.col("kind") == TOLD)
 
+    def drop(self) -> None:
+        """Delete the runs' files."""
+        for r in self.runs:
+            drop_staged(r, only=f"kind={RUN}")
+        self.runs = []
+
     def compact(self) -> None:
         """Replace the runs by one; the old files stay until the folder goes, as readers may hold them."""
         if len(self.runs) > 1:
             rows = self.runs[0]
             for r in self.runs[1:]:
                 rows = rows.unionByName(r)
-            self.runs = [stage(rows.groupBy("bucket").applyInArrow(compacted, ENTRY), "run")]
+            self.runs = [stage(rows.groupBy("bucket").applyInArrow(compacted, ENTRY), "run", partition_by=["kind"]).select(*ENTRIES.names)]
 
 
 def applied(chunks: DataFrame, told: DataFrame, names: list[str], schema: str, index: FingerprintIndex) -> DataFrame:
@@ -368,7 +377,7 @@ def failed_claims(result: DataFrame, chunks: DataFrame, index: FingerprintIndex)
     return copies.groupBy("chunk", "part").cogroup(dealt.select(F.col("owner").alias("chunk"), "part", "passage").groupBy("chunk", "part")).applyInArrow(check, "passage string")
 
 
-def dedup(docs: DataFrame, width: int = WIDTH, batches: int = 2, chunk_bytes: int = CHUNK_BYTES, bits: int = BITS, windows_per_bucket: int = WINDOWS_PER_BUCKET, fan_in: int = 4) -> DataFrame:
+def dedup(docs: DataFrame, width: int = WIDTH, batches: tuple[int, ...] = BATCHES, chunk_bytes: int = CHUNK_BYTES, bits: int = BITS, windows_per_bucket: int = WINDOWS_PER_BUCKET, fan_in: int = 4) -> DataFrame:
     """``docs`` with n_words, n_removed and kept_text, the text without its removed words."""
     carried = [f for f in docs.schema.fields if f.name not in RESULTS and f.name != "text"]
     fields = [*carried, T.StructField("text", T.StringType())]
@@ -377,7 +386,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, batches: int = 2, chunk_bytes: in
     schema = ", ".join(f"`{f.name}` {'long' if f.name == 'doc_id' else f.dataType.simpleString()}" for f in fields)
     chunks = cut_into_chunks(rows, width, chunk_bytes)
     total = chunks.agg(F.sum("n_windows")).first()[0] or 0
-    edges = chunks.approxQuantile("chunk", [i / batches for i in range(1, batches)], 0.001) if batches > 1 and total else []
+    ends = [sum(batches[: i + 1]) / sum(batches) for i in range(len(batches) - 1)]
+    edges = chunks.approxQuantile("chunk", ends, 0.001) if ends and total else []
     low = [None, *[int(e) for e in edges]]
     for salt in range(1, 9):
         index = FingerprintIndex(max(1, -(-total // windows_per_bucket)), width, salt, bits, fan_in)
@@ -388,9 +398,8 @@ def dedup(docs: DataFrame, width: int = WIDTH, batches: int = 2, chunk_bytes: in
             part = part if b is None else part.where(F.col("chunk") <= b)
             said = index.add(part, keep=i + 1 < len(low))
             told = said if told is None else told.unionByName(said)
+        index.drop()
         result = stage(applied(chunks, told, names, schema, index), "deduped")
-        for run in index.runs:
-            drop_staged(run)
         if failed_claims(result, chunks, index).isEmpty():
             return result.drop("claims")
     raise AssertionError("eight salts gave false matches: more bits are needed")

@@ -47,9 +47,9 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("batches,chunk_bytes,per_bucket,fan_in", [(1, 1 << 20, 1 << 20, 4), (2, 300, 100, 4), (5, 900, 700, 2)])
+@pytest.mark.parametrize("batches,chunk_bytes,per_bucket,fan_in", [((1,), 1 << 20, 1 << 20, 4), ((1, 3), 300, 100, 4), ((1, 1, 2, 1, 3), 900, 700, 2)])
 def test_dedup(spark, batches, chunk_bytes, per_bucket, fan_in):
-    rows = corpus(batches, 150)
+    rows = corpus(len(batches), 150)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int")
     got = substring.dedup(df, 5, batches, chunk_bytes, windows_per_bucket=per_bucket, fan_in=fan_in).collect()
     assert Counter((r.doc_id, r.n_words, r.n_removed, tuple(words_of(r.kept_text))) for r in got) == brute(rows, 5)
@@ -61,7 +61,7 @@ def test_false_matches_are_found_and_avoided(spark):
     rows = corpus(9, 40)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, x int")
     with pytest.raises(AssertionError, match="more bits"):
-        substring.dedup(df, 5, 1, 300, bits=4, windows_per_bucket=1 << 20)
+        substring.dedup(df, 5, (1,), 300, bits=4, windows_per_bucket=1 << 20)
 
 
 def test_empty(spark):
