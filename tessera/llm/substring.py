@@ -34,6 +34,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -324,11 +325,11 @@ def applied(chunks: DataFrame, told: DataFrame, names: list[str], schema: str, i
     return chunks.select("chunk", "payload").groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(apply, out)
 
 
-def failed_claims(result: DataFrame, chunks: DataFrame, index: FingerprintIndex) -> DataFrame:
-    """The claims that the owner's words don't bear out."""
+def all_hold(result: DataFrame, chunks: DataFrame, index: FingerprintIndex) -> bool:
+    """Whether the owner's words bear out every claim."""
     claims = stage(result.select(F.explode("claims").alias("c")).select("c.owner", "c.passage").distinct(), "claims")
     # many claims on one chunk are shared out among copies of it
-    counts = stage(claims.groupBy("owner").agg(F.count("*").alias("n")), "claim-counts").withColumn("parts", F.ceil(F.col("n") / CLAIMS_PER_PART).cast("int"))
+    counts = stage(claims.groupBy("owner").agg(F.count("*").alias("n"), F.ceil(F.count("*") / CLAIMS_PER_PART).cast("int").alias("parts")), "claim-counts")
     dealt = keyed_lookup(claims, counts, "owner").withColumn("part", F.pmod(F.xxhash64("passage"), F.col("parts")).cast("int"))
     copies = chunks.select("chunk", "payload").join(counts.select(F.col("owner").alias("chunk"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), "chunk")
     width, salt, bits = index.width, index.salt, index.bits
@@ -374,7 +375,12 @@ def failed_claims(result: DataFrame, chunks: DataFrame, index: FingerprintIndex)
                     failed.append(passage)
         return pa.table({"passage": pa.array(failed, pa.string())})
 
-    return copies.groupBy("chunk", "part").cogroup(dealt.select(F.col("owner").alias("chunk"), "part", "passage").groupBy("chunk", "part")).applyInArrow(check, "passage string")
+    asked = dealt.select(F.col("owner").alias("chunk"), "part", "passage")
+    failed = copies.groupBy("chunk", "part").cogroup(asked.groupBy("chunk", "part")).applyInArrow(check, "passage string")
+    held = failed.isEmpty()
+    for used in (claims, counts):
+        drop_staged(used)
+    return held
 
 
 def dedup(docs: DataFrame, width: int = WIDTH, batches: tuple[int, ...] = BATCHES, chunk_bytes: int = CHUNK_BYTES, bits: int = BITS, windows_per_bucket: int = WINDOWS_PER_BUCKET, fan_in: int = 4) -> DataFrame:
@@ -391,17 +397,20 @@ def dedup(docs: DataFrame, width: int = WIDTH, batches: tuple[int, ...] = BATCHE
     low = [None, *[int(e) for e in edges]]
     for salt in range(1, 9):
         index = FingerprintIndex(max(1, -(-total // windows_per_bucket)), width, salt, bits, fan_in)
-        told = None
+        told = []
         for i, (a, b) in enumerate(zip(low, [*low[1:], None])):
             part = chunks
             part = part if a is None else part.where(F.col("chunk") > a)
             part = part if b is None else part.where(F.col("chunk") <= b)
-            said = index.add(part, keep=i + 1 < len(low))
-            told = said if told is None else told.unionByName(said)
+            told.append(index.add(part, keep=i + 1 < len(low)))
         index.drop()
-        result = stage(applied(chunks, told, names, schema, index), "deduped")
-        if failed_claims(result, chunks, index).isEmpty():
+        result = stage(applied(chunks, reduce(DataFrame.unionByName, told), names, schema, index), "deduped")
+        for used in told:
+            drop_staged(used)
+        if all_hold(result, chunks, index):
+            drop_staged(chunks)
             return result.drop("claims")
+        drop_staged(result)
     raise AssertionError("eight salts gave false matches: more bits are needed")
 
 
