@@ -42,7 +42,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     part = lambda c, kind: F.coalesce(F.concat(F.lit(kind), F.col(c).cast("string")), F.lit("-"))
     keyed = docs.withColumn("__key", F.sha2(F.concat_ws("|", part("doc_id", "d"), part("source", "s"), part("text", "t")), 256))
     sized = mixing.sizes(keyed.select("doc_id", "source", "text", "__key")).select("doc_id", "source", "size", "__key")
-    copies = mixing.mix(sized).select("__key", F.explode("positions").alias("__position"))
+    copies = mixing.mix(sized, whole=True).select("__key", F.explode("positions").alias("__position"))
     # rows alike were dealt copies each; their text is the same
     alike = Window.partitionBy("__key").orderBy(F.lit(0))
     once = keyed.withColumn("__row", F.row_number().over(alike)).where("__row = 1")

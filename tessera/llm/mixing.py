@@ -14,6 +14,9 @@ as the schedules ask at every moment.
 
 Copies are whole: a pass that ends within a document leaves it out, and what is
 then still missing goes to the one document of the last pass that fills it best.
+That is what op4's SQL says, and a document longer than the rest of the room
+shuts out all behind it. With ``whole`` the last pass goes on behind it, until no
+document is left that fits.
 
 Scale: a source is cut into buckets of the MD5 order, so that running sums
 never meet in one task: sums by (source, bucket), running sums of these few
@@ -35,6 +38,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stage, table, words
 
 ROWS_PER_BUCKET = 20_000
+#: How often ``fill_room`` goes through the drawn order before it fills by size.
+ROUNDS = 2
+#: A source that is still off is filled by size, from as many longest documents in turn.
+TRIES = 64
 #: The production schedules, dealt to the sources in turn; areas 5, 2 and 1.
 SCHEDULES = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
 
@@ -84,11 +91,92 @@ def draw(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return docs.withColumn("drawn", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
 
 
-def mix(sized: DataFrame, schedules=SCHEDULES, most_passes: int = 3, seed: str = "mix") -> DataFrame:
+def run_up(docs: DataFrame, size: Column, name: str) -> DataFrame:
+    """Adds the sum of ``size`` over the rows of the source before this one in the drawn order."""
+    docs = docs.withColumn("__z", size)
+    sums = docs.groupBy("source", "bucket").agg(F.sum("__z").alias("words"))
+    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("__base", F.coalesce(F.sum("words").over(before), F.lit(0)))
+    out = docs.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket"))).select("d.*", "s.__base")
+    inside = Window.partitionBy("source", "bucket").orderBy("drawn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return out.withColumn(name, F.col("__base") + F.coalesce(F.sum("__z").over(inside), F.lit(0))).drop("__z", "__base")
+
+
+def with_gap(docs: DataFrame) -> DataFrame:
+    """Adds ``gap``, the words of the source's room that ``within`` leaves."""
+    got = docs.groupBy("source", "bucket", "room").agg(F.sum(F.when(F.col("within"), F.col("size")).otherwise(0)).alias("got"))
+    gap = got.groupBy("source").agg((F.max("room") - F.sum("got")).alias("gap"))
+    keys = with_source(got.select("source", "bucket"), gap, ["gap"])
+    out = docs.alias("d").join(keys.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.bucket") == F.col("g.bucket")))
+    return out.select("d.*", "g.gap")
+
+
+def by_size(counts: DataFrame, room: str, tries: int) -> DataFrame:
+    """(source, sizes, left): how many of each size fill ``room``, a fold from the longest down.
+
+    Of ``tries`` starts, at the longest, the next one and so on, the one that leaves least.
+    """
+    n = "least(x.n, s.left div x.size)"
+    sizes = f"if({n} > 0, concat(s.sizes, array(named_struct('size', x.size, 'take', {n}))), s.sizes)"
+    start = f"named_struct('left', {room}, 'sizes', cast(array() as array<struct<size: bigint, take: bigint>>))"
+    out = counts.groupBy("source", room).agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("all"))
+    fold = f"aggregate(slice(all, k, size(all)), {start}, (s, x) -> named_struct('left', s.left - x.size * {n}, 'sizes', {sizes}))"
+    best = f"array_min(transform(sequence(1, least({tries}, size(all))), k -> named_struct('left', ({fold}).left, 'k', k))).k"
+    return out.selectExpr("source", room, "all", f"{best} as k").selectExpr("source", f"{fold} as f").select("source", "f.sizes", "f.left")
+
+
+def fill_room(docs: DataFrame, most_passes: int = 3) -> DataFrame:
+    """Adds ``within``, the documents of the last pass, and ``last``, where in it they start.
+
+    A round sums over the documents that fit the gap left and takes those that end
+    within it; the document it stops at does not fit any more. After ``ROUNDS`` rounds
+    the gap goes to the longest that fit, as many as do, down to the shortest.
+    So no document is left out that fits. A source that is still over 1 % of its target
+    short, its short documents being all in, is filled by size from the start, if that
+    comes nearer.
+    """
+    fits = ~F.col("within") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("passes") < most_passes)
+    out = stage(docs.withColumn("within", F.lit(False)), "mix-first")
+    for _ in range(ROUNDS):
+        out = with_gap(out).withColumn("__fits", fits)
+        out = run_up(out, F.when(F.col("__fits"), F.col("size")).otherwise(0), "__at")
+        within = F.col("within") | (F.col("__fits") & (F.col("__at") + F.col("size") <= F.col("gap")))
+        out = stage(out.withColumn("within", within).drop("gap", "__fits", "__at"), "mix-round")
+    out = stage(with_gap(out).withColumn("__fits", fits), "mix-gap")
+    counts = out.where("__fits").groupBy("source", "size").agg(F.count("*").alias("n"))
+    gaps = out.groupBy("source").agg(F.max("gap").alias("gap"), F.max("room").alias("room"), F.max("target").alias("target"))
+    first = with_source(gaps, by_size(with_source(counts, gaps, ["gap"]), "gap", 1), ["sizes", "left"]).withColumn("left", F.coalesce("left", "gap"))
+    first = stage(first, "mix-sizes")
+    # sources that are still off, from the room on
+    off = with_source(out.select("source", "bucket").distinct(), first.where("left > 0.01D * target"), ["room"]).where("room is not null")
+    every = (F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("passes") < most_passes)
+    anew = out.where(every).alias("d").join(off.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket"))).select("d.*")
+    anew = by_size(anew.groupBy("source", "room", "size").agg(F.count("*").alias("n")), "room", TRIES).selectExpr("source", "sizes as anew", "left as anew_left")
+    plan = with_source(first, anew, ["anew", "anew_left"]).withColumn("again", F.coalesce(F.col("anew_left") < F.col("left"), F.lit(False)))
+    plan = stage(plan.select("source", "again", F.when(F.col("again"), F.col("anew")).otherwise(F.col("sizes")).alias("sizes")), "mix-plan")
+    keys = with_source(out.select("source", "bucket").distinct(), plan, ["again"])
+    out = out.alias("d").join(keys.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.bucket") == F.col("k.bucket"))).select("d.*", "k.again")
+    out = out.withColumn("__fits", F.when(F.col("again"), every).otherwise(F.col("__fits"))).withColumn("within", F.col("within") & ~F.col("again"))
+    counts = out.where("__fits").groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
+    take = plan.selectExpr("source", "explode(sizes) as t").select("source", "t.size", "t.take")
+    before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    left = counts.alias("c").join(take.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")) & (F.col("c.size") == F.col("t.size")))
+    left = left.select("c.source", "c.size", "c.bucket", (F.col("t.take") - F.col("c.base")).alias("left")).where("left > 0")
+    same = F.col("d.source").eqNullSafe(F.col("l.source")) & (F.col("d.bucket") == F.col("l.bucket")) & (F.col("d.size") == F.col("l.size"))
+    out = out.alias("d").join(left.alias("l"), same, "left").select("d.*", "l.left")
+    rank = F.row_number().over(Window.partitionBy("source", "bucket", "size", "__fits").orderBy("drawn", "doc_id"))
+    more = F.col("__fits") & F.coalesce(rank <= F.col("left"), F.lit(False))
+    out = stage(out.withColumn("within", F.col("within") | more).drop("gap", "__fits", "left", "again"), "mix-last")
+    return run_up(out, F.when(F.col("within"), F.col("size")).otherwise(0), "last")
+
+
+def mix(sized: DataFrame, schedules=SCHEDULES, most_passes: int = 3, seed: str = "mix", whole: bool = False) -> DataFrame:
     """How often, and when, training reads each of (doc_id, source, size) and further columns.
 
     Adds source_size, target, copies, taken (= copies * size) and positions, an
     array of the copies' training times; these replace columns of such names.
+    ``whole`` fills the last pass with whole documents until none is left that fits.
     """
     own = ["doc_id", "source", "size"]
     more = [c for c in sized.columns if c not in (*own, "source_size", "target", "copies", "taken", "positions")]
@@ -112,27 +200,36 @@ def mix(sized: DataFrame, schedules=SCHEDULES, most_passes: int = 3, seed: str =
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     out = out.withColumn("passes", passes.cast("long"))
     room = F.floor(F.col("target")) - F.col("passes") * F.col("source_size")
-    out = out.withColumn("within", (F.col("size") > 0) & (F.col("start") + F.col("size") <= room))
-    out = stage(out.withColumn("room", room), "mix-first")
-    gap = out.groupBy("source", "bucket", "room").agg(F.sum(F.when(F.col("within"), F.col("size")).otherwise(0)).alias("got"))
-    gap = gap.groupBy("source").agg((F.max("room") - F.sum("got")).alias("gap"))
-    # the best filler of each bucket, then of the source
-    fits = out.where(~F.col("within") & (F.col("size") > 0) & (F.col("passes") < most_passes)).groupBy("source", "bucket", "size")
-    fits = fits.agg(F.min(F.struct("drawn", "doc_id")).alias("which"))
-    fill = with_source(fits, gap, ["gap"]).where("size <= gap")
-    fill = fill.groupBy("source").agg(F.max(F.struct("size", "which", "bucket")).alias("fill"))
-    keys = out.select("source", "bucket").distinct()
-    out = out.alias("d").join(with_source(keys, fill, ["fill"]).alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.bucket") == F.col("f.bucket")))
-    out = out.select("d.*", "f.fill")
-    chosen = (F.col("fill.bucket") == F.col("bucket")) & (F.col("fill.size") == F.col("size")) & (F.col("fill.which.drawn") == F.col("drawn"))
-    # of rows alike, the first
-    alike = Window.partitionBy("source", "bucket", "drawn", "size", "within").orderBy("doc_id", "start")
-    out = out.withColumn("twin", F.row_number().over(alike)).withColumn("filler", ~F.col("within") & F.coalesce(chosen, F.lit(False)) & (F.col("twin") == 1))
-    copies = F.when(F.col("size") > 0, F.col("passes") + (F.col("within") | F.col("filler")).cast("long")).otherwise(0)
+    out = out.withColumn("room", room)
+    if whole:
+        out = fill_room(out, most_passes)
+        last = F.col("within")
+    else:
+        out = out.withColumn("within", (F.col("size") > 0) & (F.col("start") + F.col("size") <= room))
+        out = stage(out, "mix-first")
+        gap = out.groupBy("source", "bucket", "room").agg(F.sum(F.when(F.col("within"), F.col("size")).otherwise(0)).alias("got"))
+        gap = gap.groupBy("source").agg((F.max("room") - F.sum("got")).alias("gap"))
+        # the best filler of each bucket, then of the source
+        fits = out.where(~F.col("within") & (F.col("size") > 0) & (F.col("passes") < most_passes)).groupBy("source", "bucket", "size")
+        fits = fits.agg(F.min(F.struct("drawn", "doc_id")).alias("which"))
+        fill = with_source(fits, gap, ["gap"]).where("size <= gap")
+        fill = fill.groupBy("source").agg(F.max(F.struct("size", "which", "bucket")).alias("fill"))
+        keys = out.select("source", "bucket").distinct()
+        out = out.alias("d").join(with_source(keys, fill, ["fill"]).alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.bucket") == F.col("f.bucket")))
+        out = out.select("d.*", "f.fill")
+        chosen = (F.col("fill.bucket") == F.col("bucket")) & (F.col("fill.size") == F.col("size")) & (F.col("fill.which.drawn") == F.col("drawn"))
+        # of rows alike, the first
+        alike = Window.partitionBy("source", "bucket", "drawn", "size", "within").orderBy("doc_id", "start")
+        out = out.withColumn("twin", F.row_number().over(alike)).withColumn("filler", ~F.col("within") & F.coalesce(chosen, F.lit(False)) & (F.col("twin") == 1))
+        last = F.col("within") | F.col("filler")
+    copies = F.when(F.col("size") > 0, F.col("passes") + last.cast("long")).otherwise(0)
     out = out.withColumn("copies", copies)
 
     def position(k: Column) -> Column:
-        middle = k * F.col("source_size") + F.least(F.col("start"), F.greatest(F.col("room") - F.col("size"), F.lit(0)) + F.when(k < F.col("passes"), F.col("source_size")).otherwise(0)) + F.col("size") / 2
+        at = F.least(F.col("start"), F.greatest(F.col("room") - F.col("size"), F.lit(0)) + F.when(k < F.col("passes"), F.col("source_size")).otherwise(0))
+        if whole:
+            at = F.when(k < F.col("passes"), F.col("start")).otherwise(F.col("last"))
+        middle = k * F.col("source_size") + at + F.col("size") / 2
         share = F.least(middle / F.col("target"), F.lit(1.0))
         when = F.when(F.col("turn") == 0, invert(schedules[0], share))
         for i, s in enumerate(schedules[1:], 1):

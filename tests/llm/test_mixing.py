@@ -102,3 +102,36 @@ def test_clashing_columns_are_carried_or_replaced(spark):
     df = spark.createDataFrame([(1, "a", 5, "x", 7), (2, "b", 5, "y", 8)], "doc_id long, source string, size long, bucket string, target int")
     got = {r.doc_id: r for r in mixing.mix(df).collect()}
     assert (got[1].bucket, got[2].bucket) == ("x", "y") and got[1].target == pytest.approx(50 / 7)
+
+
+def long_ones(seed=0):
+    """Sources with very long documents, as (doc_id, source, size)."""
+    rnd = random.Random(seed)
+    rows = [("a", 200)] * 900 + [("b", 100)] * 2000 + [("b", 150_000)]
+    rows += [(s, z) for s in "cdef" for z in [rnd.choice([5, 30, 90, 200]) for _ in range(12)] + [1500, 3000]]
+    rows += [(None, z) for z in (7, 7, 7, 7, 900)] + [("g", 0), ("a", 0)]
+    return [(i, *r) for i, r in enumerate(rows)]
+
+
+@pytest.mark.parametrize("seed,per", [(0, 20_000), (1, 50), (2, 50)])
+def test_whole_leaves_out_none_that_fits(spark, seed, per, monkeypatch):
+    monkeypatch.setattr(mixing, "ROWS_PER_BUCKET", per)
+    rows = long_ones(seed)
+    df = spark.createDataFrame([(1000 * seed + i, *r) for i, *r in rows], "doc_id long, source string, size long")
+    got = mixing.mix(df, whole=True).collect()
+    assert sorted((r.source or "~", r.size) for r in got) == sorted((s or "~", z) for _, s, z in rows)
+    for s in {r.source for r in got}:
+        mine = [r for r in got if r.source == s]
+        gap = mine[0].target - sum(r.taken for r in mine)
+        passes = min([r.copies for r in mine if r.size], default=0)
+        assert gap >= -1e-6 and max([r.copies for r in mine if r.size], default=0) <= min(3, passes + 1)
+        assert all(r.size > gap for r in mine if r.size and r.copies == passes < 3), s
+        # copies follow each other through the schedule
+        times = sorted((p, r.size) for r in mine for p in r.positions)
+        assert all(0 <= p <= 1 for p, _ in times) and len({p for p, _ in times}) == len(times)
+        if s == "b":
+            assert 0 <= gap < 100 and max(p for p, _ in times) == pytest.approx(1, abs=2e-2) and times[0][0] < 0.7
+
+
+def test_whole_of_an_empty_table(spark):
+    assert mixing.mix(spark.createDataFrame([], "doc_id long, source string, size long"), whole=True).count() == 0

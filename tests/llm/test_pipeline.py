@@ -113,3 +113,16 @@ def test_empty(spark):
     docs = documents(spark).limit(0)
     for _, function in corpus_pipeline.STAGES[:-1]:
         assert function(spark, docs, "").count() == 0
+
+
+def test_mix_goes_on_behind_a_long_document(spark):
+    """The order drawn puts the long document of the second source across the cut, whichever id it has."""
+    for long_id in range(3):
+        rows = [(i, "w " * (600 if i == long_id else 20), "en", "a" if i >= 40 else "b", 0) for i in range(140)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+        after = as_rows(corpus_pipeline.mix_sources(spark, docs, ""))
+        size = {"a": 2000, "b": 39 * 20 + 600}
+        want = test_mixing.brute_targets(size, {"a": 5, "b": 2})
+        for s in "ab":
+            got = sum(len(r[1].split()) for r in after if r[3] == s)
+            assert want[s] - 20 < got <= want[s] + 1, (long_id, s)
