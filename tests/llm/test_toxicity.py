@@ -51,6 +51,17 @@ def test_counterfactuals_spare_neutral_mentions(spark):
     assert fair.score(neutral + " idiot scum clown") > 0.5
 
 
+def test_counterfactuals_at_the_production_weight(spark):
+    """The weight that the query uses brings a neutral mention and its swap nearer, too."""
+    docs, labels = frames(spark, *corpus(3, 800, (0.05, 0.7)))
+    plain, fair = toxicity.train(docs, labels, counterfactual=0.0), toxicity.train(docs, labels)
+    neutral = "women " + " ".join(BASE[:12])
+    logit = lambda m, t: np.log(m.score(t) / (1 - m.score(t)))
+    gap = lambda m: abs(logit(m, neutral) - logit(m, toxicity.swapped(neutral)))
+    assert gap(fair) < 0.5 * gap(plain)
+    assert fair.score(neutral) < 0.5 < fair.score(neutral + " idiot scum clown")
+
+
 def test_swaps_stay_within_kinds():
     assert toxicity.swapped("The Women, a man; womenfolk") == "the men, a girl; womenfolk"
     assert toxicity.swapped("nobody") is None
