@@ -86,7 +86,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 def train(records: list[bytes], size: int = DICTIONARY_BYTES, most: int = TRAINING_BYTES) -> bytes:
     """A dictionary from records spread over the archive; empty if they are too few to build one."""
     total = sum(map(len, records))
-    every = max(1, -(-total // most))
+    # as far apart as leaves the 8 that a dictionary needs
+    every = max(1, min(-(-total // most), len(records) // 8))
     samples = [r[:131072] for r in records[::every]]
     if len(samples) < 8:
         return b""

@@ -67,6 +67,17 @@ def test_archives_are_frames_with_a_dictionary_first():
         list(warc.records_of(data[:-3]))
 
 
+def test_archives_of_few_large_records_have_a_dictionary():
+    rnd = random.Random(6)
+    words = ["<p>%s</p>" % "".join(rnd.choices("abcdefgh", k=9)) for _ in range(3000)]
+    for n in (8, 15, 50):
+        records = ["".join(rnd.choices(words, k=(33 << 20) // n // 16)).encode() for _ in range(n)]
+        assert sum(map(len, records)) > warc.ARCHIVE_BYTES
+        data = warc.archive(records)
+        assert struct.unpack_from("<II", data)[1], n
+        assert list(warc.records_of(data)) == records
+
+
 def test_record_ids_hold_page_ids():
     for i in (0, 1, -1, 2**63 - 1, -(2**63), 10**12):
         assert warc.page_of(f"<{warc.record_id(i)}>") == i
