@@ -17,13 +17,17 @@ feed that a character other than white space follows. The tokenizer's pattern
 never matches over such a place and doesn't look behind it, so that the parts'
 ids are the text's.
 
-Null texts are empty: the end id alone. Each row is a document, repeated or not.
-Texts are taken whole, whatever their length.
+Null texts are empty: the end id alone. Each row is a document, repeated or not;
+rows that share a doc_id, null ids too, are dealt by their text and place. Texts
+are taken whole, whatever their length. An empty table gives an empty result.
+Only doc_id and text are read, so that other columns can't clash; ``pack``
+replaces columns named sequence_id and offset.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -53,28 +57,40 @@ def byte_symbols() -> dict[str, int]:
     return {chr(b): b for b in seen} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Fixed value: how a byte-level pre-tokenizer with ``use_regex`` splits a text.
+BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
 def id_finder(path: str):
-    """A function from a text to its ids, as the byte-level BPE tokenizer in ``path`` gives them.
+    """(a function from a text to its ids as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them, where long texts may be cut: at these added tokens and ``parts``; None for nowhere).
 
-    Where its merges are ordered by the ids they make, as usual, they are ranks,
-    by which the other public BPE library finds the same ids several times faster.
+    A plain byte-level BPE vocabulary whose merges are ordered by the ids they
+    make, as usual, has ranks, by which the other public BPE library finds the
+    same ids several times faster. Any other one is encoded by its own library.
+    Added tokens in a text have their own ids either way; where one holds white
+    space or takes some beside it, texts are encoded whole.
     """
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     with open(path, encoding="utf-8") as f:
-        model = json.load(f)["model"]
-    merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        held = json.load(f)
+    model, added, split = held["model"], held.get("added_tokens") or [], held.get("pre_tokenizer") or {}
+    simple = not any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or t["content"].split() != [t["content"]] for t in added)
+    names = sorted((t["content"] for t in added), key=len, reverse=True)
+    byte_level = split.get("type") == "ByteLevel" and not split["add_prefix_space"] and split.get("use_regex", True)
+    plain = model.get("type") == "BPE" and held.get("normalizer") is None and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "ignore_merges", "byte_fallback"))
+    merges = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     made = [model["vocab"].get(a + b, -1) for a, b in merges]
-    if "ByteLevel(add_prefix_space=False" not in repr(tokenizer.pre_tokenizer) or any(a >= b for a, b in zip(made, made[1:])):
-        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids
-    import public_tokenizers
+    if not (simple and byte_level and plain) or any(a >= b for a, b in zip(made, made[1:])):
+        return lambda text: tokenizer.encode(text, add_special_tokens=False).ids, names if simple and byte_level else None
     import tiktoken
 
     byte, known = byte_symbols(), set(made)
     ranks = {bytes(byte[c] for c in token): i for token, i in model["vocab"].items() if i in known or len(token) == 1}
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    special = {n: t["id"] for n in names for t in added if t["content"] == n}
+    encoding = tiktoken.Encoding("pieces", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=special)
+    return lambda text: encoding.encode(text, allowed_special="all"), names
 
 
 #: Bytes that surely begin a character other than white space: visible ASCII, and lead bytes but those of other white space.
@@ -90,11 +106,15 @@ def cuts(data: bytes) -> np.ndarray:
     return np.flatnonzero(((b[:-1] == 32) | (b[:-1] == 10)) & _SOLID[b[1:]])
 
 
-def parts(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
-    """A long text in parts that begin at cuts."""
+def parts(data: bytes, added: list[str] = [], most: int = 1 << 20) -> Iterator[bytes]:  # noqa: B006  read only
+    """A long text in parts that begin at cuts, or at added tokens and behind them."""
     if len(data) <= most:
         yield data
         return
+    if added and len(pieces := re.split(b"(" + b"|".join(re.escape(a.encode()) for a in added) + b")", data)) > 1:
+        for piece in pieces:
+            yield from parts(piece, [], most)
+        return
     at, begin = cuts(data), 0
     while begin < len(data):
         i = np.searchsorted(at, begin + most)
@@ -106,8 +126,8 @@ def parts(data: bytes, most: int = 1 << 20) -> Iterator[bytes]:
 @lru_cache(maxsize=2)
 def encoder(path: str):
     """A function from UTF-8 text to its ids as little-endian unsigned 32-bit integers, in bytes."""
-    ids = id_finder(path)
-    return lambda data: b"".join(np.array(ids(part.decode()), "<u4").tobytes() for part in parts(data))
+    ids, added = id_finder(path)
+    return lambda data: b"".join(np.array(ids(part.decode()), "<u4").tobytes() for part in ([data] if added is None else parts(data, added)))
 
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int32()), ("ids_crc32", pa.int64())])
@@ -226,7 +246,8 @@ def ranked(pieces_: DataFrame) -> DataFrame:
     """Adds ``rank``, a number from 0 among the pieces of each length."""
     names = pieces_.columns
     n = pieces_.count()
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-n // ROWS_PER_BUCKET)))).cast("int")
+    # by more than the id, so that rows that share one spread as others do
+    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(max(1, -(-n // ROWS_PER_BUCKET)))).cast("int")
     rows = pieces_.withColumn("__bucket", bucket)
     counts = rows.groupBy("length", "__bucket").agg(F.count("*").alias("__n"))
     before = Window.partitionBy("length").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)

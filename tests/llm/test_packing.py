@@ -39,21 +39,21 @@ def test_rules_are_best_fit_decreasing():
 
 def texts():
     rnd = random.Random(8)
-    soup = ["a", "é", " ", "  ", "\n", " ", " ", "　", "don't", "'s", "1", "漢字", "<|endoftext|>", "\t", "\x0b", "\x85", "!", "😀", "​", "﻿"]
+    soup = ["a", "é", " ", "  ", "\n", " ", " ", "　", "don't", "'s", "1", "漢字", "<|endoftext|>", "<|endoftext", "<|endoftext|> x", "\t", "\x0b", "\x85", "!", "😀", "​", "﻿"]
     out = [None, "", " ", "word " * 5000, "x" * 3000]
     return out + ["".join(rnd.choices(soup, k=rnd.randint(1, 400))) for _ in range(60)]
 
 
 def test_ids_are_the_tokenizers(monkeypatch):
     t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
-    ids = packing.id_finder(packing.vocabulary_path())
+    ids, added = packing.id_finder(packing.vocabulary_path())
+    assert added == ["<|endoftext|>"]
     parts = packing.parts
     for x in texts():
         want = t.encode(x or "", add_special_tokens=False).ids
         assert ids(x or "") == want
         for most in (1, 7, 100):
-            cut = list(parts((x or "").encode(), most))
+            cut = list(parts((x or "").encode(), added, most))
             assert b"".join(cut) == (x or "").encode()
             assert [i for p in cut for i in ids(p.decode())] == want
 
@@ -66,7 +66,6 @@ def test_packing_a_table(spark, capacity, per, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string, sequence_id int, offset int")
     got = packing.pack_documents(docs, capacity=capacity).collect()
     t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
     want = Counter()
     for i, x, *_ in rows:
         ids = np.array([*t.encode(x or "", add_special_tokens=False).ids, 0], "<u4")
@@ -89,3 +88,30 @@ def test_packing_a_table(spark, capacity, per, monkeypatch):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_added_tokens_have_their_ids():
+    ids, _ = packing.id_finder(packing.vocabulary_path())
+    assert ids("<|endoftext|>") == [50256] and ids("a <|endoftext|> b").count(50256) == 1
+
+
+def test_other_vocabularies_are_encoded_by_their_own_library(tmp_path):
+    import json
+
+    held = json.load(open(packing.vocabulary_path()))
+    held["added_tokens"][0]["lstrip"] = True
+    path = str(tmp_path / "v.json")
+    json.dump(held, open(path, "w"))
+    ids, added = packing.id_finder(path)
+    plain = Tokenizer.from_file(path)
+    assert added is None and all(ids(x or "") == plain.encode(x or "", add_special_tokens=False).ids for x in texts())
+
+
+def test_repeated_and_null_ids_spread(spark, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 50)
+    docs = spark.createDataFrame([(None if i % 2 else 7, "w " * (i % 40), "x") for i in range(2000)], "doc_id long, text string, rank string")
+    pieces = packing.token_pieces(docs)
+    got = packing.ranked(pieces).collect()
+    for n in {r.length for r in got}:
+        ranks = sorted(r["rank"] for r in got if r.length == n)
+        assert ranks == list(range(len(ranks)))

@@ -93,7 +93,6 @@ def test_mix_reads_sources_as_targets_say(steps):
 
 def test_packing_holds_every_token(steps):
     t = Tokenizer.from_file(packing.vocabulary_path())
-    t.encode_special_tokens = True
     want = Counter((r[0], len(t.encode(r[1], add_special_tokens=False).ids) + 1) for r in as_rows(steps[4]))
     rows = steps[5].collect()
     assert sum(d[1] * n for d, n in want.items()) == sum(r.length for r in rows)
