@@ -59,18 +59,22 @@ SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_re
 
 def _quality() -> str:
     """The statistics, then EM over vote patterns as a recursive query, a round a step."""
-    rules = quality.RULES
+    rules, first = quality.RULES, quality.beginning()
     m = len(rules)
-    votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for _, bad, good in rules)
-    start = "[0.8::DOUBLE" + ", 0.01, 0.5, 0.49, 0.3, 0.5, 0.2" * m + "]"
-    gap = "ln(th[1]) - ln(1 - th[1])" + "".join(f" + ln(th[{2 + 6 * j} + v[{j + 1}] + 1]) - ln(th[{5 + 6 * j} + v[{j + 1}] + 1])" for j in range(m))
-    p = f"1 / (1 + exp(-({gap})))"
-    out = ["(1 + sum(n * p)) / (2 + sum(n))"]
-    for j in range(m):
-        for c in range(6):
-            w = "n * p" if c < 3 else "n * (1 - p)"
-            share = f"(0.5 + coalesce(sum({w}) FILTER (WHERE v[{j + 1}] = {c % 3 - 1}), 0)) / (1.5 + sum({w}))"
-            out.append(f"least({quality.SLIP}, {share})" if c == 0 else share if c < 3 else f"0.5 * {share} + 0.5 * {quality.BROAD[c % 3]}")
+    k = len(first) // (1 + 3 * m)
+    a = quality.PRIOR_DOCUMENTS
+    votes = ", ".join(f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END" for _, bad, good, _ in rules)
+    start = "[" + ", ".join(f"{x!r}::DOUBLE" for x in first) + "]"
+    at = lambda c, j: k + (c * m + j) * 3
+    logs = ", ".join(f"ln(th[{c + 1}])" + "".join(f" + ln(th[{at(c, j) + 2} + v[{j + 1}]])" for j in range(m)) + f" AS l{c}" for c in range(k))
+    top = f"greatest({', '.join(f'l{c}' for c in range(k))})"
+    total = " + ".join(f"exp(l{c} - {top})" for c in range(k))
+    shares = ", ".join(f"exp(l{c} - {top}) / ({total}) AS p{c}" for c in range(k))
+    out = [f"(sum(n * p{c}) + {a} * {first[c]!r}) / (sum(n) + {a})" for c in range(k)]
+    for c in range(k):
+        for j in range(m):
+            for v in range(3):
+                out.append(f"(coalesce(sum(n * p{c}) FILTER (WHERE v[{j + 1}] = {v - 1}), 0) + {a} * {first[at(c, j) + v]!r}) / (sum(n * p{c}) + {a})")
     return rf"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text, {WORDS} AS w FROM documents),
 x AS (SELECT id, unnest(range(1, len(w) - 3)) AS i, w FROM d WHERE len(w) >= 5),
 k AS (SELECT id, i, count(*) OVER (PARTITION BY id, array_to_string(w[i:i + 4], ' ')) AS c FROM x),
@@ -81,8 +85,8 @@ st AS (SELECT *, len(lines)::BIGINT AS n_lines, (len(lines) - len(list_distinct(
 vt AS (SELECT *, [{votes}] AS v FROM st),
 ps AS (SELECT v, count(*)::DOUBLE AS n FROM vt GROUP BY v),
 em AS (SELECT 0 AS k, {start} AS th
-  UNION ALL SELECT k + 1, (SELECT [{", ".join(out)}] FROM (SELECT v, n, {p} AS p FROM ps)) FROM em WHERE k < 40),
-po AS (SELECT v, {p} AS posterior FROM ps CROSS JOIN (SELECT th FROM em WHERE k = 40)),
+  UNION ALL SELECT k + 1, (SELECT [{", ".join(out)}] FROM (SELECT v, n, {shares} FROM (SELECT v, n, {logs} FROM ps))) FROM em WHERE k < 40),
+po AS (SELECT v, p0 AS posterior FROM (SELECT v, {shares} FROM (SELECT v, {logs} FROM ps CROSS JOIN (SELECT th FROM em WHERE k = 40)))),
 r AS (SELECT vt.*, posterior, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM vt JOIN po USING (v))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept FROM r"""
 

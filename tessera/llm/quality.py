@@ -1,10 +1,15 @@
 """Quality rules: weak supervision instead of an all-must-pass filter.
 
 Each rule looks at one statistic of a text and votes good (1), bad (-1) or
-abstains (0). A latent class "good or bad" explains the votes: for either class
-every rule has its own distribution over the three votes. Expectation
-maximisation learns these distributions and the share of good documents from
-the votes alone; a document's posterior probability of being good follows.
+abstains (0). A latent class explains the votes: a document is good, or bad in
+one of several ways, the rules that know a kind of junk by itself (symbols,
+capitals, ..); the others are evidence that no document is bad by alone. Each
+class has its own distribution over every rule's three votes. Expectation
+maximisation learns these distributions (the rules' accuracies) and the shares
+of the classes from the votes alone; a document's posterior probability of being
+good follows. So a rule that errs on good documents is overruled by the others,
+and documents that no rule votes against go if the votes, abstentions among
+them, are those of junk.
 
 Votes are reduced to counts per vote pattern (at most 3 ** rules rows whatever
 the corpus holds), so that EM is one fold over a single row; all of it is SQL
@@ -12,7 +17,9 @@ expressions in the JVM. Texts are read once: their statistics, a few numbers a
 document, are staged.
 
 Null and empty texts have no words; their statistics are 0, and the rules that
-divide by the number of words abstain. An empty table gives an empty result.
+divide by the number of words vote on 0 <= 0. Texts are read whole, however long.
+Rows that repeat are documents of their own and count each. Columns named like
+results are replaced, others carried. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,22 +29,19 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import BLANK_CHARS, BLANKS, keyed_lookup, stage
 
-#: (name, bad if, good if); the first condition that holds decides, else the rule
-#: abstains. Most rules know one way to be bad and can't tell that a text is good.
+#: (name, bad if, good if, whether it knows a kind of junk by itself); the first condition that holds decides, else the rule abstains.
 RULES = (
-    ("length", "n_words < 10", "n_words >= 10"),
-    ("symbols", "n_symbols > 0.2 * n_words", "false"),
-    ("capitals", "n_capitals > 0.25 * word_chars", "false"),
-    ("repeats", "n_repeat_words > 0.2 * n_words", "false"),
-    ("lines", "n_dup_lines > 0.3 * n_lines", "false"),
-    ("word_length", "word_chars < 3 * n_words or word_chars > 7 * n_words", "false"),
+    ("length", "n_words < 10", "n_words >= 10", True),
+    ("symbols", "n_symbols > 0.2 * n_words", "n_symbols <= 0.02 * n_words", True),
+    ("capitals", "n_capitals > 0.25 * word_chars", "n_capitals <= 0.08 * word_chars", True),
+    ("repeats", "n_repeat_words > 0.2 * n_words", "n_repeat_words <= 0.2 * n_words", True),
+    ("lines", "n_dup_lines > 0.2 * n_lines", "n_dup_lines = 0", False),
+    ("word_length", "word_chars < 3 * n_words or word_chars > 7 * n_words", "word_chars between 4.6 * n_words and 6 * n_words", False),
 )
-#: Bad documents are bad in different ways, so a rule's distribution over them is
-#: held half way to this one (bad, abstain, good): else the commonest kind of bad
-#: document would make the others look good.
-BROAD = (0.3, 0.5, 0.2)
-#: And no rule is believed to vote bad on more than this share of good documents.
-SLIP = 0.001
+#: Where EM starts: a rule's votes (bad, abstain, good) on good documents, on junk that it knows, on other junk; the share of good ones.
+ON_GOOD, ON_OWN, ON_OTHER, GOOD = (0.01, 0.09, 0.9), (0.8, 0.15, 0.05), (0.2, 0.3, 0.5), 0.9
+#: The start counts as so many documents a class, a weak prior.
+PRIOR_DOCUMENTS = 8.0
 WINDOW = 5
 
 
@@ -105,33 +109,49 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
 
 def votes(stats: DataFrame, rules=RULES) -> DataFrame:
     """Adds ``votes``, an array with -1, 0 or 1 for each rule."""
-    return stats.withColumn("votes", F.array(*[F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for _, bad, good in rules]))
+    return stats.withColumn("votes", F.array(*[F.expr(f"case when {bad} then -1 when {good} then 1 else 0 end") for _, bad, good, _ in rules]))
 
 
-def fit(patterns: DataFrame, n_rules: int, rounds: int = 40) -> DataFrame:
+def beginning(rules=RULES) -> list[float]:
+    """The parameters EM starts from: the share of each class, good first, then P(vote | class) by class, rule and vote (-1, 0, 1)."""
+    kinds = [j for j, r in enumerate(rules) if r[3]]
+    out = [GOOD, *[(1 - GOOD) / len(kinds)] * len(kinds)]
+    for kind in [None, *kinds]:
+        for j in range(len(rules)):
+            out += ON_GOOD if kind is None else ON_OWN if kind == j else ON_OTHER
+    return out
+
+
+def fit(patterns: DataFrame, rules=RULES, rounds: int = 40) -> DataFrame:
     """EM over (votes, n), one row per vote pattern; adds ``posterior``, the probability of good.
 
-    The parameters are one array: the share of good documents, then for each rule
-    P(vote | good) and P(vote | bad) over the votes -1, 0, 1. All patterns meet in
-    one row, of which there are 3 ** n_rules at most.
+    The parameters are one array, as ``beginning`` has them. All patterns meet in
+    one row, of which there are 3 ** rules at most.
     """
-    last, start = n_rules - 1, "0.8D" + ", 0.01D, 0.5D, 0.49D, 0.3D, 0.5D, 0.2D" * n_rules
-
-    def posterior(v: str, th: str) -> str:
-        gap = f"aggregate(sequence(0, {last}), ln({th}[0]) - ln(1 - {th}[0]), (s, j) -> s + ln({th}[1 + 6 * j + {v}[j] + 1]) - ln({th}[4 + 6 * j + {v}[j] + 1]))"
-        return f"1 / (1 + exp(-({gap})))"
-
-    # c runs over (class, vote): 0-2 good, 3-5 bad; half a document of smoothing keeps each above 0
-    weight = "x.n * if(c < 3, x.p, 1 - x.p)"
-    share = f"(0.5D + aggregate(e, 0D, (s, x) -> s + if(x.v[j] = c % 3 - 1, {weight}, 0D))) / (1.5D + aggregate(e, 0D, (s, x) -> s + {weight}))"
-    share = f"if(c = 0, least({SLIP}D, {share}), if(c < 3, {share}, 0.5D * {share} + 0.5D * array({', '.join(f'{x}D' for x in BROAD)})[c % 3]))"
-    good = "(1D + aggregate(e, 0D, (s, x) -> s + x.n * x.p)) / (2D + aggregate(e, 0D, (s, x) -> s + x.n))"
-    expect = f"transform(ps, r -> named_struct('v', r.v, 'n', r.n, 'p', {posterior('r.v', 'th')}))"
-    step = f"transform(array({expect}), e -> concat(array({good}), flatten(transform(sequence(0, {last}), j -> transform(sequence(0, 5), c -> {share})))))[0]"
+    m, first = len(rules), beginning(rules)
+    k = len(first) // (1 + 3 * m)
+    start = f"array({', '.join(f'{x!r}D' for x in first)})"
+
+    def let_sql(name: str, value: str, body: str) -> str:
+        return f"transform(array({value}), {name} -> {body})[0]"
+
+    def shares(v: str, th: str) -> str:
+        """P(class | votes) of every class."""
+        each = f"transform(sequence(0, {k - 1}), c -> aggregate(sequence(0, {m - 1}), ln({th}[c]), (s, j) -> s + ln({th}[{k} + (c * {m} + j) * 3 + {v}[j] + 1])))"
+        odds = let_sql("ls", each, "transform(ls, x -> exp(x - array_max(ls)))")
+        return let_sql("os", odds, "transform(os, x -> x / aggregate(os, 0D, (s, y) -> s + y))")
+
+    mass = "aggregate(e, 0D, (s, x) -> s + x.n * x.p[{c}])"
+    voted = f"aggregate(e, 0D, (s, x) -> s + if(x.v[((i - {k}) div 3) % {m}] = (i - {k}) % 3 - 1, x.n * x.p[{{c}}], 0D))"
+    of = f"cast((i - {k}) div {3 * m} as int)"
+    share = f"({mass.format(c='i')} + {PRIOR_DOCUMENTS}D * t0[i]) / (aggregate(e, 0D, (s, x) -> s + x.n) + {PRIOR_DOCUMENTS}D)"
+    vote = f"({voted.format(c=of)} + {PRIOR_DOCUMENTS}D * t0[i]) / ({mass.format(c=of)} + {PRIOR_DOCUMENTS}D)"
+    expect = f"transform(ps, r -> named_struct('v', r.v, 'n', r.n, 'p', {shares('r.v', 'th')}))"
+    step = let_sql("e", expect, f"transform(sequence(0, {len(first) - 1}), i -> if(i < {k}, {share}, {vote}))")
     row = patterns.agg(F.array_sort(F.collect_list(F.struct(F.col("votes").alias("v"), F.col("n").cast("double").alias("n")))).alias("ps"))
-    learnt = row.withColumn("th", F.expr(f"aggregate(sequence(1, {rounds}), array({start}), (th, k) -> {step})"))
+    learnt = row.withColumn("t0", F.expr(start)).withColumn("th", F.expr(f"aggregate(sequence(1, {rounds}), t0, (th, round) -> {step})"))
     each = learnt.selectExpr("th", "explode(ps) as r")
-    return each.selectExpr("r.v as votes", "cast(r.n as long) as n", f"{posterior('r.v', 'th')} as posterior")
+    return each.selectExpr("r.v as votes", "cast(r.n as long) as n", f"{shares('r.v', 'th')}[0] as posterior")
 
 
 def judge(docs: DataFrame, text: str = "text", rules=RULES, rounds: int = 40, keep_at: float = 0.5) -> DataFrame:
@@ -141,7 +161,7 @@ def judge(docs: DataFrame, text: str = "text", rules=RULES, rounds: int = 40, ke
     """
     kept = [c for c in docs.columns if c not in (text, "posterior", "kept")]
     stats = stage(votes(statistics(docs.select(*kept, text), text).drop(text), rules), "quality")
-    learnt = fit(stats.groupBy("votes").agg(F.count("*").alias("n")), len(rules), rounds)
+    learnt = fit(stats.groupBy("votes").agg(F.count("*").alias("n")), rules, rounds)
     return keyed_lookup(stats, learnt, "votes").withColumn("kept", F.col("posterior") >= keep_at)
 
 

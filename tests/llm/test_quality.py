@@ -36,30 +36,34 @@ def test_statistics_match_brute_force(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(rows[r.doc_id][1]), r.doc_id
 
 
-def em(patterns, rounds=40):
+def em(patterns, rules, rounds=40):
     """The same model in plain Python."""
     from math import exp, log
 
-    m = len(patterns[0][0])
-    prior, good, bad = 0.8, [[0.01, 0.5, 0.49] for _ in range(m)], [[0.3, 0.5, 0.2] for _ in range(m)]
+    kinds = [None, *[j for j, r in enumerate(rules) if r[3]]]
+    first = [[quality.ON_GOOD if c is None else quality.ON_OWN if c == j else quality.ON_OTHER for j in range(len(rules))] for c in kinds]
+    prior = [quality.GOOD, *[(1 - quality.GOOD) / (len(kinds) - 1)] * (len(kinds) - 1)]
+    share, table, a = list(prior), first, quality.PRIOR_DOCUMENTS
+    n = sum(c for _, c in patterns)
     for k in range(rounds + 1):
-        post = [1 / (1 + exp(-(log(prior) - log(1 - prior) + sum(log(good[j][x + 1]) - log(bad[j][x + 1]) for j, x in enumerate(v))))) for v, _ in patterns]
+        odds = [[s * exp(sum(log(t[j][x + 1]) for j, x in enumerate(v))) for s, t in zip(share, table)] for v, _ in patterns]
+        post = [[o / sum(os) for o in os] for os in odds]
         if k == rounds:
-            return post
-        n = sum(c for _, c in patterns)
-        g = sum(c * p for (_, c), p in zip(patterns, post))
-        prior = (1 + g) / (2 + n)
-        good = [[(0.5 + sum(c * p for (v, c), p in zip(patterns, post) if v[j] == x)) / (1.5 + g) for x in (-1, 0, 1)] for j in range(m)]
-        good = [[min(quality.SLIP, a), b, c] for a, b, c in good]
-        bad = [[0.5 * (0.5 + sum(c * (1 - p) for (v, c), p in zip(patterns, post) if v[j] == x)) / (1.5 + n - g) + 0.5 * quality.BROAD[x + 1] for x in (-1, 0, 1)] for j in range(m)]
+            return [p[0] for p in post]
+        mass = [sum(c * p[i] for (_, c), p in zip(patterns, post)) for i in range(len(kinds))]
+        share = [(g + a * s) / (n + a) for g, s in zip(mass, prior)]
+        table = [[[(sum(c * p[i] for (v, c), p in zip(patterns, post) if v[j] == x) + a * first[i][j][x + 1]) / (mass[i] + a) for x in (-1, 0, 1)] for j in range(len(rules))] for i in range(len(kinds))]
+
+
+RULES4 = (("a", "", "", True), ("b", "", "", True), ("c", "", "", True), ("d", "", "", False))
 
 
 def test_em_matches_plain_python(spark):
     rnd = random.Random(1)
     patterns = sorted({tuple(rnd.choice((-1, 0, 1)) for _ in range(4)) for _ in range(30)})
     patterns = [(list(v), rnd.randint(1, 500)) for v in patterns]
-    got = {tuple(r.votes): r.posterior for r in quality.fit(spark.createDataFrame(patterns, "votes array<int>, n long"), 4).collect()}
-    for (v, _), p in zip(patterns, em(patterns)):
+    got = {tuple(r.votes): r.posterior for r in quality.fit(spark.createDataFrame(patterns, "votes array<int>, n long"), RULES4).collect()}
+    for (v, _), p in zip(patterns, em(patterns, RULES4)):
         assert got[tuple(v)] == pytest.approx(p, abs=1e-9)
 
 
@@ -68,14 +72,43 @@ def test_junk_goes_and_clean_stays(spark):
     prose = lambda: " ".join("".join(rnd.choice("aeioutnrsl") for _ in range(rnd.randint(2, 8))) for _ in range(rnd.randint(40, 90))) + ".\n" + "and so it ends here.\n and more."
     rows = [(i, prose(), 1) for i in range(300)]
     rows += [(300 + i, " ".join(w + "$$$" for w in prose().split()), 0) for i in range(15)]
-    rows += [(400 + i, prose().upper().replace(" ", "!! "), 0) for i in range(15)]
-    rows += [(500, None, 0), (501, "", 0), (502, "short one", 0)]
+    rows += [(400 + i, prose().upper().replace(" ", "!!!!! "), 0) for i in range(15)]
+    rows += [(500, None, None), (501, "", None), (502, "short one", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, good int")
     got = quality.judge(df).collect()
     assert len(got) == len(rows)
-    assert [r.doc_id for r in got if r.kept != bool(r.good)] == []
+    assert [r.doc_id for r in got if r.good is not None and r.kept != bool(r.good)] == []
     assert all(0 <= r.posterior <= 1 for r in got)
 
 
 def test_empty_table(spark):
     assert quality.judge(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def prose(rnd, n):
+    return ". ".join(" ".join("".join(rnd.choice("aeioutnrsl") for _ in range(rnd.randint(4, 7))) for _ in range(12)) for _ in range(n))
+
+
+def test_posterior_differs_from_all_must_pass_both_ways(spark):
+    """Planted: good texts that one rule errs on stay; shouting that no rule votes against goes."""
+    rnd = random.Random(9)
+    rows = [(i, prose(rnd, 6) + "\n" + prose(rnd, 2), "clean") for i in range(300)]
+    rows += [(1000 + i, "\n".join(["see the notes below", prose(rnd, 6), "see the notes below"]), "echo") for i in range(6)]
+    rows += [(2000 + i, prose(rnd, 6).upper().replace(" ", "!!! "), "shout") for i in range(30)]
+    # shouting held below the capitals rule's mark, of odd word lengths: abstentions alone
+    rows += [(3000 + i, " ".join((w.upper() if k % 5 == 0 else w)[: 3 + k % 3] + "e" * (k % 2) for k, w in enumerate(prose(rnd, 6).split())), "murmur") for i in range(6)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, kind string")).collect()
+    kept = {k: [r.kept for r in got if r.kind == k] for k in ("clean", "echo", "shout", "murmur")}
+    assert all(kept["clean"]) and not any(kept["shout"])
+    assert all(kept["echo"]) and all(-1 in r.votes for r in got if r.kind == "echo")
+    assert not any(kept["murmur"]) and not any(-1 in r.votes for r in got if r.kind == "murmur")
+
+
+def test_long_texts_repeated_rows_and_clashing_names(spark):
+    rnd = random.Random(2)
+    long_ = prose(rnd, 20_000)
+    rows = [(1, long_, 5, "a")] * 2 + [(i, prose(rnd, 5), 6, "b") for i in range(40)]
+    got = quality.judge(spark.createDataFrame(rows, "doc_id long, text string, posterior int, ps string")).collect()
+    mine = [r for r in got if r.doc_id == 1 and r.ps == "a"]
+    assert len(got) == len(rows) and len(mine) == 2 and mine[0].n_words == len(long_.split()) and 0 <= mine[0].posterior <= 1
+    assert {r.ps for r in got} == {"a", "b"}
