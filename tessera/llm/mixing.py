@@ -12,22 +12,26 @@ integral of the schedule; its inverse at the middle of a document copy is the
 copy's position. Sorting by position (a range partitioning) mixes the sources
 as the schedules ask at every moment.
 
-Copies are whole: a pass that ends within a document leaves it out, and what is
-then still missing goes to the one document of the last pass that fills it best.
-That is what op4's SQL says, and a document longer than the rest of the room
-shuts out all behind it. With ``whole`` the last pass goes on behind it, until no
-document is left that fits.
-
-Scale: a source is cut into buckets of the MD5 order, so that running sums
-never meet in one task: sums by (source, bucket), running sums of these few
-numbers by source, then running sums within a bucket. Joins are on (source,
-bucket), so a hot source is spread like any other. All of it is SQL
-expressions in the JVM.
+Copies are whole. The last pass over a source takes, in the drawn order, the
+documents that fit the room left for it, up to the one that would overrun it. The
+gap goes to the documents left over, by size: as many of the longest as fit, then
+of the next, down to the shortest, so that none is left that fits; and one more of
+the shortest left, if that comes nearer. A source (of few documents) that is still
+over 1 % off is filled by size from the start, from each of its ``TRIES`` longest
+sizes down, if one of these comes nearer.
+
+Scale: a source is cut into buckets of the MD5 order, so that running sums never
+meet in one task: sums by (source, bucket), running sums of these few numbers by
+source, then running sums within a bucket. Joins are on (source, bucket), so a hot
+source is spread like any other. What meets by source alone are counts by size, as
+many as its documents have sizes (no more than the longest has words). All of it is
+SQL expressions in the JVM.
 
 Null texts have size 0; null sources are a source of their own, the last; rows
 that repeat a doc_id are documents of their own; rows alike in id, source and
-size are interchangeable. Sources without words have target 0. An empty table
-gives an empty result.
+size are interchangeable; so are null ids of one size. Texts are counted whole.
+Sources without words have target 0. Extra columns are carried, those named like
+results replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,9 +42,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stage, table, words
 
 ROWS_PER_BUCKET = 20_000
-#: How often ``fill_room`` goes through the drawn order before it fills by size.
-ROUNDS = 2
-#: A source that is still off is filled by size, from as many longest documents in turn.
+#: From how many of its longest sizes a source is filled that is still off.
 TRIES = 64
 #: The production schedules, dealt to the sources in turn; areas 5, 2 and 1.
 SCHEDULES = (((0.0, 6.0), (1.0, 4.0)), ((0.0, 2.0), (1.0, 2.0)), ((0.0, 0.5), (1.0, 1.5)))
@@ -91,92 +93,83 @@ def draw(docs: DataFrame, seed: str = "mix") -> DataFrame:
     return docs.withColumn("drawn", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
 
 
-def run_up(docs: DataFrame, size: Column, name: str) -> DataFrame:
-    """Adds the sum of ``size`` over the rows of the source before this one in the drawn order."""
-    docs = docs.withColumn("__z", size)
-    sums = docs.groupBy("source", "bucket").agg(F.sum("__z").alias("words"))
+def joined(rows: DataFrame, other: DataFrame, keys: tuple[str, ...], columns: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` with columns of ``other``, by keys of which null is one like others."""
+    test = None
+    for k in keys:
+        same = F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+        test = same if test is None else test & same
+    return rows.alias("a").join(other.alias("b"), test, how).select("a.*", *[F.col(f"b.{c}").alias(c) for c in columns])
+
+
+CELL = ("source", "bucket")
+
+
+def run_up(cells: DataFrame, words: str, name: str) -> DataFrame:
+    """Adds to cells the sum of ``words`` over the source's cells before."""
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("__base", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    out = docs.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket"))).select("d.*", "s.__base")
-    inside = Window.partitionBy("source", "bucket").orderBy("drawn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    return out.withColumn(name, F.col("__base") + F.coalesce(F.sum("__z").over(inside), F.lit(0))).drop("__z", "__base")
+    return cells.withColumn(name, F.coalesce(F.sum(words).over(before), F.lit(0)))
 
 
-def with_gap(docs: DataFrame) -> DataFrame:
-    """Adds ``gap``, the words of the source's room that ``within`` leaves."""
-    got = docs.groupBy("source", "bucket", "room").agg(F.sum(F.when(F.col("within"), F.col("size")).otherwise(0)).alias("got"))
-    gap = got.groupBy("source").agg((F.max("room") - F.sum("got")).alias("gap"))
-    keys = with_source(got.select("source", "bucket"), gap, ["gap"])
-    out = docs.alias("d").join(keys.alias("g"), F.col("d.source").eqNullSafe(F.col("g.source")) & (F.col("d.bucket") == F.col("g.bucket")))
-    return out.select("d.*", "g.gap")
+def before_in_cell(size: Column) -> Column:
+    """The sum of ``size`` over the rows of the cell before this one in the drawn order."""
+    order = Window.partitionBy(*CELL).orderBy("drawn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(size).over(order), F.lit(0))
 
 
-def by_size(counts: DataFrame, room: str, tries: int) -> DataFrame:
-    """(source, sizes, left): how many of each size fill ``room``, a fold from the longest down.
+def by_size(counts: DataFrame, tries: int) -> DataFrame:
+    """(source, sizes, off): how many of each size fill ``room`` best, from (source, room, size, n), and by how much they miss it.
 
-    Of ``tries`` starts, at the longest, the next one and so on, the one that leaves least.
+    A fold from the longest size down, or from the next ones down to the ``tries``-th; one more of
+    the shortest left over if that comes nearer. A source without counts (null size) misses all its room.
     """
     n = "least(x.n, s.left div x.size)"
-    sizes = f"if({n} > 0, concat(s.sizes, array(named_struct('size', x.size, 'take', {n}))), s.sizes)"
-    start = f"named_struct('left', {room}, 'sizes', cast(array() as array<struct<size: bigint, take: bigint>>))"
-    out = counts.groupBy("source", room).agg(F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("all"))
-    fold = f"aggregate(slice(all, k, size(all)), {start}, (s, x) -> named_struct('left', s.left - x.size * {n}, 'sizes', {sizes}))"
-    best = f"array_min(transform(sequence(1, least({tries}, size(all))), k -> named_struct('left', ({fold}).left, 'k', k))).k"
-    return out.selectExpr("source", room, "all", f"{best} as k").selectExpr("source", f"{fold} as f").select("source", "f.sizes", "f.left")
-
-
-def fill_room(docs: DataFrame, most_passes: int = 3) -> DataFrame:
-    """Adds ``within``, the documents of the last pass, and ``last``, where in it they start.
-
-    A round sums over the documents that fit the gap left and takes those that end
-    within it; the document it stops at does not fit any more. After ``ROUNDS`` rounds
-    the gap goes to the longest that fit, as many as do, down to the shortest.
-    So no document is left out that fits. A source that is still over 1 % of its target
-    short, its short documents being all in, is filled by size from the start, if that
-    comes nearer.
-    """
-    fits = ~F.col("within") & (F.col("size") > 0) & (F.col("size") <= F.col("gap")) & (F.col("passes") < most_passes)
-    out = stage(docs.withColumn("within", F.lit(False)), "mix-first")
-    for _ in range(ROUNDS):
-        out = with_gap(out).withColumn("__fits", fits)
-        out = run_up(out, F.when(F.col("__fits"), F.col("size")).otherwise(0), "__at")
-        within = F.col("within") | (F.col("__fits") & (F.col("__at") + F.col("size") <= F.col("gap")))
-        out = stage(out.withColumn("within", within).drop("gap", "__fits", "__at"), "mix-round")
-    out = stage(with_gap(out).withColumn("__fits", fits), "mix-gap")
-    counts = out.where("__fits").groupBy("source", "size").agg(F.count("*").alias("n"))
-    gaps = out.groupBy("source").agg(F.max("gap").alias("gap"), F.max("room").alias("room"), F.max("target").alias("target"))
-    first = with_source(gaps, by_size(with_source(counts, gaps, ["gap"]), "gap", 1), ["sizes", "left"]).withColumn("left", F.coalesce("left", "gap"))
-    first = stage(first, "mix-sizes")
-    # sources that are still off, from the room on
-    off = with_source(out.select("source", "bucket").distinct(), first.where("left > 0.01D * target"), ["room"]).where("room is not null")
-    every = (F.col("size") > 0) & (F.col("size") <= F.col("room")) & (F.col("passes") < most_passes)
-    anew = out.where(every).alias("d").join(off.alias("o"), F.col("d.source").eqNullSafe(F.col("o.source")) & (F.col("d.bucket") == F.col("o.bucket"))).select("d.*")
-    anew = by_size(anew.groupBy("source", "room", "size").agg(F.count("*").alias("n")), "room", TRIES).selectExpr("source", "sizes as anew", "left as anew_left")
-    plan = with_source(first, anew, ["anew", "anew_left"]).withColumn("again", F.coalesce(F.col("anew_left") < F.col("left"), F.lit(False)))
-    plan = stage(plan.select("source", "again", F.when(F.col("again"), F.col("anew")).otherwise(F.col("sizes")).alias("sizes")), "mix-plan")
-    keys = with_source(out.select("source", "bucket").distinct(), plan, ["again"])
-    out = out.alias("d").join(keys.alias("k"), F.col("d.source").eqNullSafe(F.col("k.source")) & (F.col("d.bucket") == F.col("k.bucket"))).select("d.*", "k.again")
-    out = out.withColumn("__fits", F.when(F.col("again"), every).otherwise(F.col("__fits"))).withColumn("within", F.col("within") & ~F.col("again"))
-    counts = out.where("__fits").groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
-    take = plan.selectExpr("source", "explode(sizes) as t").select("source", "t.size", "t.take")
+    none = "cast(array() as array<struct<size: bigint, take: bigint>>)"
+    taken = f"if({n} > 0, concat(s.sizes, array(named_struct('size', x.size, 'take', {n}))), s.sizes)"
+    spare = f"if({n} < x.n, x.size, s.spare)"
+    start = f"named_struct('left', room, 'sizes', {none}, 'spare', cast(null as bigint))"
+    fold = f"aggregate(slice(all, k, size(all)), {start}, (s, x) -> named_struct('left', s.left - x.size * {n}, 'sizes', {taken}, 'spare', {spare}))"
+    over = "coalesce(f.spare - f.left < f.left, false)"
+    ended = f"transform(array({fold}), f -> named_struct('off', if({over}, f.spare - f.left, f.left), 'k', k, 'sizes', if({over}, concat(f.sizes, array(named_struct('size', f.spare, 'take', 1L))), f.sizes)))[0]"
+    out = counts.groupBy("source", "room").agg(F.sort_array(F.collect_list(F.when(F.col("size").isNotNull(), F.struct("size", "n"))), asc=False).alias("all"))
+    best = f"if(size(all) = 0, named_struct('off', room, 'k', 0, 'sizes', {none}), array_min(transform(sequence(1, least({tries}, size(all))), k -> {ended})))"
+    return out.selectExpr("source", f"{best} as f").select("source", "f.sizes", "f.off")
+
+
+def last_pass(docs: DataFrame, most_passes: int = 3) -> DataFrame:
+    """Adds ``last``, whether the last pass takes a document; ``docs`` has ``within``, whether it does in the drawn order."""
+    may = (F.col("size") > 0) & (F.col("passes") < most_passes)
+    got = F.sum(F.when(F.col("within"), F.col("size")).otherwise(0))
+    gaps = docs.groupBy("source").agg(F.max("room").alias("whole"), (F.max("room") - got).alias("room"), F.max("target").alias("target"))
+    counts = docs.where(may & ~F.col("within")).groupBy("source", "size").agg(F.count("*").alias("n"))
+    first = by_size(joined(gaps, counts, ("source",), ["size", "n"], "left"), 1)
+    first = stage(joined(first, gaps, ("source",), ["whole", "target"]), "mix-sizes")
+    off = first.where("off > 0.01D * target").select("source", F.col("whole").alias("room"))
+    cells = docs.select(*CELL).distinct()
+    some = joined(docs.where(may), joined(cells, off, ("source",), ["room"]).withColumnRenamed("room", "__room"), CELL, ["__room"])
+    anew = by_size(some.groupBy("source", F.col("__room").alias("room"), "size").agg(F.count("*").alias("n")), TRIES)
+    anew = anew.select("source", F.struct("off", "sizes").alias("anew"))
+    again = F.coalesce(F.col("anew.off") < F.col("off"), F.lit(False))
+    plan = joined(first, anew, ("source",), ["anew"], "left").select("source", again.alias("again"), F.when(again, F.col("anew.sizes")).otherwise(F.col("sizes")).alias("sizes"))
+    plan = stage(plan, "mix-plan")
+    out = joined(docs, joined(cells, plan, ("source",), ["again"]), CELL, ["again"])
+    out = out.withColumn("__open", may & (F.col("again") | ~F.col("within")))
+    # of each size as many as the plan says, in the drawn order
+    take = plan.selectExpr("source", "explode(sizes) as t").groupBy("source", F.col("t.size").alias("size")).agg(F.sum("t.take").alias("take"))
+    counts = out.where("__open").groupBy("source", "size", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("source", "size").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    left = counts.alias("c").join(take.alias("t"), F.col("c.source").eqNullSafe(F.col("t.source")) & (F.col("c.size") == F.col("t.size")))
-    left = left.select("c.source", "c.size", "c.bucket", (F.col("t.take") - F.col("c.base")).alias("left")).where("left > 0")
-    same = F.col("d.source").eqNullSafe(F.col("l.source")) & (F.col("d.bucket") == F.col("l.bucket")) & (F.col("d.size") == F.col("l.size"))
-    out = out.alias("d").join(left.alias("l"), same, "left").select("d.*", "l.left")
-    rank = F.row_number().over(Window.partitionBy("source", "bucket", "size", "__fits").orderBy("drawn", "doc_id"))
-    more = F.col("__fits") & F.coalesce(rank <= F.col("left"), F.lit(False))
-    out = stage(out.withColumn("within", F.col("within") | more).drop("gap", "__fits", "left", "again"), "mix-last")
-    return run_up(out, F.when(F.col("within"), F.col("size")).otherwise(0), "last")
-
-
-def mix(sized: DataFrame, schedules=SCHEDULES, most_passes: int = 3, seed: str = "mix", whole: bool = False) -> DataFrame:
+    counts = joined(counts, take, ("source", "size"), ["take"]).withColumn("__left", F.col("take") - F.coalesce(F.sum("n").over(before), F.lit(0)))
+    out = joined(out, counts.where("__left > 0"), ("source", "bucket", "size"), ["__left"], "left")
+    rank = F.row_number().over(Window.partitionBy("source", "bucket", "size", "__open").orderBy("drawn", "doc_id"))
+    more = F.col("__open") & F.coalesce(rank <= F.col("__left"), F.lit(False))
+    return out.withColumn("last", (F.col("within") & ~F.col("again")) | more).drop("__open", "__left", "again", "within")
+
+
+def mix(sized: DataFrame, schedules=SCHEDULES, most_passes: int = 3, seed: str = "mix") -> DataFrame:
     """How often, and when, training reads each of (doc_id, source, size) and further columns.
 
     Adds source_size, target, copies, taken (= copies * size) and positions, an
     array of the copies' training times; these replace columns of such names.
-    ``whole`` fills the last pass with whole documents until none is left that fits.
     """
     own = ["doc_id", "source", "size"]
     more = [c for c in sized.columns if c not in (*own, "source_size", "target", "copies", "taken", "positions")]
@@ -187,50 +180,31 @@ def mix(sized: DataFrame, schedules=SCHEDULES, most_passes: int = 3, seed: str =
     # the first 8 digits give a bucket, in the order of the keys
     bucket = F.floor(F.conv(F.substring("drawn", 1, 8), 16, 10).cast("double") * n_buckets / 2**32).cast("int")
     drawn = drawn.withColumn("bucket", bucket)
-    sums = drawn.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    plan = targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), schedules, most_passes)
-    running = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn("base", F.coalesce(F.sum("words").over(running), F.lit(0)))
-    sums = with_source(sums, plan, ["source_size", "turn", "target"])
-    out = drawn.alias("d").join(sums.alias("s"), F.col("d.source").eqNullSafe(F.col("s.source")) & (F.col("d.bucket") == F.col("s.bucket")))
-    out = out.select("d.*", "s.base", "s.source_size", "s.turn", "s.target")
-    inside = Window.partitionBy("source", "bucket").orderBy("drawn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("start", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    # whole passes, then the documents that end within the last one
-    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    out = out.withColumn("passes", passes.cast("long"))
-    room = F.floor(F.col("target")) - F.col("passes") * F.col("source_size")
-    out = out.withColumn("room", room)
-    if whole:
-        out = fill_room(out, most_passes)
-        last = F.col("within")
-    else:
-        out = out.withColumn("within", (F.col("size") > 0) & (F.col("start") + F.col("size") <= room))
-        out = stage(out, "mix-first")
-        gap = out.groupBy("source", "bucket", "room").agg(F.sum(F.when(F.col("within"), F.col("size")).otherwise(0)).alias("got"))
-        gap = gap.groupBy("source").agg((F.max("room") - F.sum("got")).alias("gap"))
-        # the best filler of each bucket, then of the source
-        fits = out.where(~F.col("within") & (F.col("size") > 0) & (F.col("passes") < most_passes)).groupBy("source", "bucket", "size")
-        fits = fits.agg(F.min(F.struct("drawn", "doc_id")).alias("which"))
-        fill = with_source(fits, gap, ["gap"]).where("size <= gap")
-        fill = fill.groupBy("source").agg(F.max(F.struct("size", "which", "bucket")).alias("fill"))
-        keys = out.select("source", "bucket").distinct()
-        out = out.alias("d").join(with_source(keys, fill, ["fill"]).alias("f"), F.col("d.source").eqNullSafe(F.col("f.source")) & (F.col("d.bucket") == F.col("f.bucket")))
-        out = out.select("d.*", "f.fill")
-        chosen = (F.col("fill.bucket") == F.col("bucket")) & (F.col("fill.size") == F.col("size")) & (F.col("fill.which.drawn") == F.col("drawn"))
-        # of rows alike, the first
-        alike = Window.partitionBy("source", "bucket", "drawn", "size", "within").orderBy("doc_id", "start")
-        out = out.withColumn("twin", F.row_number().over(alike)).withColumn("filler", ~F.col("within") & F.coalesce(chosen, F.lit(False)) & (F.col("twin") == 1))
-        last = F.col("within") | F.col("filler")
-    copies = F.when(F.col("size") > 0, F.col("passes") + last.cast("long")).otherwise(0)
-    out = out.withColumn("copies", copies)
+    cells = drawn.groupBy(*CELL).agg(F.sum("size").alias("words"))
+    plan = targets(cells.groupBy("source").agg(F.sum("words").alias("source_size")), schedules, most_passes)
+    # whole passes, then the room of the last one
+    passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
+    plan = plan.withColumn("passes", passes).withColumn("room", F.floor(F.col("target")) - F.col("passes") * F.col("source_size"))
+    planned = ["source_size", "target", "turn", "passes", "room"]
+    cells = joined(run_up(cells, "words", "base"), plan, ("source",), planned)
+    out = joined(drawn, cells, CELL, ["base", *planned])
+    fits = (F.col("size") > 0) & (F.col("size") <= F.col("room"))
+    out = out.withColumn("start", F.col("base") + before_in_cell(F.col("size"))).withColumn("__at", before_in_cell(F.when(fits, F.col("size")).otherwise(0)))
+    out = stage(out.drop("base"), "mix-first")
+    cells = out.groupBy(*CELL).agg(F.sum(F.when(fits, F.col("size")).otherwise(0)).alias("words"))
+    out = joined(out, run_up(cells, "words", "base"), CELL, ["base"])
+    out = out.withColumn("within", fits & (F.col("base") + F.col("__at") + F.col("size") <= F.col("room"))).drop("base", "__at")
+    out = stage(last_pass(out, most_passes), "mix-last")
+    # where a document is in the last pass, and the words that the source's passes take together
+    one = F.when(F.col("last"), F.col("size")).otherwise(0)
+    cells = run_up(out.groupBy(*CELL).agg(F.sum(one).alias("words")), "words", "base")
+    cells = cells.withColumn("filled", F.sum("words").over(Window.partitionBy("source")))
+    out = joined(out, cells, CELL, ["base", "filled"]).withColumn("__at", F.col("base") + before_in_cell(one))
+    out = out.withColumn("copies", F.when(F.col("size") > 0, F.col("passes") + F.col("last").cast("long")).otherwise(0))
 
     def position(k: Column) -> Column:
-        at = F.least(F.col("start"), F.greatest(F.col("room") - F.col("size"), F.lit(0)) + F.when(k < F.col("passes"), F.col("source_size")).otherwise(0))
-        if whole:
-            at = F.when(k < F.col("passes"), F.col("start")).otherwise(F.col("last"))
-        middle = k * F.col("source_size") + at + F.col("size") / 2
-        share = F.least(middle / F.col("target"), F.lit(1.0))
+        middle = k * F.col("source_size") + F.when(k < F.col("passes"), F.col("start")).otherwise(F.col("__at")) + F.col("size") / 2
+        share = middle / (F.col("passes") * F.col("source_size") + F.col("filled"))
         when = F.when(F.col("turn") == 0, invert(schedules[0], share))
         for i, s in enumerate(schedules[1:], 1):
             when = when.when(F.col("turn") == i, invert(s, share))
@@ -240,16 +214,13 @@ def mix(sized: DataFrame, schedules=SCHEDULES, most_passes: int = 3, seed: str =
     return out.withColumn("taken", F.col("copies") * F.col("size")).withColumn("positions", positions).select(*names, "copies", "taken", "positions")
 
 
-def with_source(few: DataFrame, by_source: DataFrame, columns: list[str]) -> DataFrame:
-    """A table by (source, bucket, ..) with values of its sources, null a source too."""
-    joined = few.alias("a").join(by_source.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source")), "left")
-    return joined.select("a.*", *[f"b.{c}" for c in columns])
-
-
 def sizes(docs: DataFrame) -> DataFrame:
     return docs.withColumn("size", F.size(words(F.col("text"))).cast("long"))
 
 
 def op4(spark, sf_dir: str) -> DataFrame:
+    """The mix in training order: documents range-sorted by the position of their first copy, those not taken last."""
     docs = sizes(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "source", "size")
-    return mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies")
+    first, last = F.get("positions", F.lit(0)), F.get("positions", (F.col("copies") - 1).cast("int"))
+    mixed = mix(docs).select("doc_id", "size", "source_size", "target", "taken", "copies", first.alias("first_position"), last.alias("last_position"))
+    return mixed.orderBy(F.col("first_position").asc_nulls_last(), "doc_id")

@@ -6,9 +6,18 @@ from tessera.llm import mixing, quality, topk
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-#: Documents in the drawn order, running sums in one window for each source; targets by
-#: trying every number of sources held at the limit.
-MIX = f"""WITH d AS (SELECT row_number() OVER () AS id, doc_id, source, len({WORDS})::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS drawn FROM documents),
+
+def _at(share: str) -> str:
+    """When the share of a schedule has passed: the area 5 falls from 6 to 4, 2 is level, 1 rises from 0.5 to 1.5."""
+    return (
+        f"CASE weight WHEN 5 THEN least(2 * (5 * {share}) / (6 + sqrt(36 - 4 * (5 * {share}))), 1) WHEN 2 THEN least(2 * (2 * {share}) / (2 + sqrt(4 + 0 * {share})), 1) "
+        f"ELSE least(2 * (1 * {share}) / (0.5::DOUBLE + sqrt(0.25::DOUBLE + 2 * (1 * {share}))), 1) END"
+    )
+
+
+#: Documents in the drawn order, running sums in one window for each source; targets by trying every
+#: number of sources held at the limit; the last pass filled by recursion over sizes.
+MIX = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS id, doc_id, source, len({WORDS})::BIGINT AS size, md5('mix' || coalesce(doc_id::VARCHAR, '')) AS drawn FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size, ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM d GROUP BY source),
 o AS (SELECT *, row_number() OVER (ORDER BY source_size * 3 / weight, source NULLS LAST) AS rank FROM s),
 l AS (SELECT *, ((sum(source_size) OVER ())::BIGINT - coalesce(sum(source_size * 3) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT)
@@ -19,11 +28,35 @@ p AS (SELECT d.*, source_size, target, CASE WHEN source_size > 0 THEN floor(targ
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY drawn, doc_id, size, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 r AS (SELECT *, floor(target)::BIGINT - passes * source_size AS room FROM p),
-w AS (SELECT *, size > 0 AND start + size <= room AS within FROM r),
-g AS (SELECT *, room - coalesce(sum(size) FILTER (WHERE within) OVER (PARTITION BY source), 0) AS gap FROM w),
-f AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN NOT within AND size > 0 AND size <= gap AND passes < 3 THEN size ELSE -1 END DESC, drawn, doc_id, id) AS n FROM g),
-c AS (SELECT *, CASE WHEN size > 0 THEN passes + (within OR (n = 1 AND size <= gap AND passes < 3))::BIGINT ELSE 0 END AS copies FROM f)
-SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c"""
+b AS (SELECT *, coalesce(sum(CASE WHEN size <= room THEN size END) OVER (PARTITION BY source ORDER BY drawn, doc_id, size, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS fit_before FROM r),
+w AS (SELECT *, size > 0 AND size <= room AND fit_before + size <= room AS within, size > 0 AND passes < 3 AS may FROM b),
+g AS (SELECT source, any_value(target) AS target, any_value(room) AS room, (any_value(room) - coalesce(sum(size) FILTER (WHERE within), 0))::BIGINT AS gap FROM w GROUP BY source),
+h AS (SELECT source, size, count(*) AS n, row_number() OVER (PARTITION BY source ORDER BY size DESC) AS r FROM w WHERE may AND NOT within GROUP BY source, size),
+fold(source, r, "left", size, take, spare) AS (SELECT source, 0::BIGINT, gap, 0::BIGINT, 0::BIGINT, NULL::BIGINT FROM g
+  UNION ALL SELECT f.source, h.r, f."left" - least(h.n, f."left" // h.size) * h.size, h.size, least(h.n, f."left" // h.size), CASE WHEN least(h.n, f."left" // h.size) < h.n THEN h.size ELSE f.spare END
+  FROM fold f JOIN h ON h.source IS NOT DISTINCT FROM f.source AND h.r = f.r + 1),
+ended AS (SELECT source, arg_max("left", r) AS "left", max_by(struct_pack(x := spare), r).x AS spare FROM fold GROUP BY source),
+one AS (SELECT e.source, target, room, coalesce(spare - "left" < "left", false) AS over, CASE WHEN coalesce(spare - "left" < "left", false) THEN spare - "left" ELSE "left" END AS miss, spare FROM ended e JOIN g ON g.source IS NOT DISTINCT FROM e.source),
+h2 AS (SELECT w.source, size, count(*) AS n, row_number() OVER (PARTITION BY w.source ORDER BY size DESC) AS r FROM w JOIN one ON one.source IS NOT DISTINCT FROM w.source WHERE may AND miss > 0.01 * one.target GROUP BY w.source, size),
+fold2(source, k, r, "left", size, take, spare) AS (SELECT h2.source, h2.r, h2.r - 1, g.room, 0::BIGINT, 0::BIGINT, NULL::BIGINT FROM h2 JOIN g ON g.source IS NOT DISTINCT FROM h2.source WHERE h2.r <= 64
+  UNION ALL SELECT f.source, f.k, h2.r, f."left" - least(h2.n, f."left" // h2.size) * h2.size, h2.size, least(h2.n, f."left" // h2.size), CASE WHEN least(h2.n, f."left" // h2.size) < h2.n THEN h2.size ELSE f.spare END
+  FROM fold2 f JOIN h2 ON h2.source IS NOT DISTINCT FROM f.source AND h2.r = f.r + 1),
+ended2 AS (SELECT source, k, arg_max("left", r) AS "left", max_by(struct_pack(x := spare), r).x AS spare FROM fold2 GROUP BY source, k),
+two AS (SELECT source, arg_min(struct_pack(k := k, over := coalesce(spare - "left" < "left", false), spare := spare, miss := CASE WHEN coalesce(spare - "left" < "left", false) THEN spare - "left" ELSE "left" END),
+  struct_pack(a := CASE WHEN coalesce(spare - "left" < "left", false) THEN spare - "left" ELSE "left" END, b := k)) AS t FROM ended2 GROUP BY source),
+z AS (SELECT one.source, coalesce(t.miss < one.miss, false) AS again, t.k AS k, CASE WHEN coalesce(t.miss < one.miss, false) THEN t.over ELSE one.over END AS over, CASE WHEN coalesce(t.miss < one.miss, false) THEN t.spare ELSE one.spare END AS spare
+  FROM one LEFT JOIN two ON two.source IS NOT DISTINCT FROM one.source),
+takes AS (SELECT source, size, sum(take) AS take FROM (SELECT f.source, size, take FROM fold f JOIN z ON z.source IS NOT DISTINCT FROM f.source WHERE NOT again AND take > 0
+  UNION ALL SELECT f.source, size, take FROM fold2 f JOIN z ON z.source IS NOT DISTINCT FROM f.source WHERE again AND f.k = z.k AND take > 0
+  UNION ALL SELECT source, spare, 1 FROM z WHERE over) GROUP BY source, size),
+q AS (SELECT w.*, again, may AND (again OR NOT within) AS open, row_number() OVER (PARTITION BY w.source, size, may AND (again OR NOT within) ORDER BY drawn, doc_id, id) AS n FROM w JOIN z ON z.source IS NOT DISTINCT FROM w.source),
+y AS (SELECT q.*, (within AND NOT again) OR (open AND coalesce(n <= take, false)) AS last FROM q LEFT JOIN takes ON takes.source IS NOT DISTINCT FROM q.source AND takes.size = q.size),
+c AS (SELECT *, CASE WHEN size > 0 THEN passes + last::BIGINT ELSE 0 END AS copies,
+  coalesce(sum(CASE WHEN last THEN size END) OVER (PARTITION BY source ORDER BY drawn, doc_id, size, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS last_start,
+  passes * source_size + coalesce(sum(CASE WHEN last THEN size END) OVER (PARTITION BY source), 0)::BIGINT AS read FROM y),
+m AS (SELECT *, ((CASE WHEN passes > 0 THEN start ELSE last_start END)::BIGINT + size / 2) / read AS first_share, ((CASE WHEN last THEN passes * source_size + last_start ELSE (passes - 1) * source_size + start END)::BIGINT + size / 2) / read AS last_share FROM c),
+i AS (SELECT m.*, weight FROM m JOIN s ON s.source IS NOT DISTINCT FROM m.source)
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies, CASE WHEN copies > 0 THEN {_at('first_share')} END AS first_position, CASE WHEN copies > 0 THEN {_at('last_share')} END AS last_position FROM i"""
 
 TOP_K = f"""WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
