@@ -55,14 +55,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later plans start there.
+def stage(df: DataFrame, label: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, or to ``path``, and read it back: later plans start there.
 
     Unlike a cached table it survives lost executors. The shuffle files of the
     job that wrote it are dropped as soon as it ends, since nothing reads them.
     """
     spark = df.sparkSession
-    path, key = scratch(spark, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path, key = path or scratch(spark, label), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
@@ -73,13 +73,28 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, folder: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder and all in it, if it is there."""
+    path, fs = _file_system(spark, folder)
+    fs.delete(path, True)
+
+
+def list_folder(spark: SparkSession, folder: str) -> list[str]:
+    """The paths in a folder; none in one that isn't there."""
+    path, fs = _file_system(spark, folder)
+    return [f.getPath().toString() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+
 def drop_staged(df: DataFrame, only: str = "") -> None:
     """Delete the files of a staged table, or of its partition ``only``, that nothing will read any more."""
     spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles() if f"/{only}" in f}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        delete(spark, folder)
 
 
 def keyed_lookup(big: DataFrame, small: DataFrame, key: str, weight: str = "n", hot: int = 1000) -> DataFrame:

@@ -47,21 +47,106 @@ def corpus(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("batches,chunk_bytes,per_bucket,fan_in", [((1,), 1 << 20, 1 << 20, 4), ((1, 3), 300, 100, 4), ((1, 1, 2, 1, 3), 900, 700, 2)])
-def test_dedup(spark, batches, chunk_bytes, per_bucket, fan_in):
-    rows = corpus(len(batches), 150)
-    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int")
-    got = substring.dedup(df, 5, batches, chunk_bytes, windows_per_bucket=per_bucket, fan_in=fan_in).collect()
-    assert Counter((r.doc_id, r.n_words, r.n_removed, tuple(words_of(r.kept_text))) for r in got) == brute(rows, 5)
-    assert all((r.kept_text == r.text) if not r.n_removed else r.kept_text is not None for r in got)
+@pytest.fixture(autouse=True)
+def few_shards(monkeypatch):
+    monkeypatch.setattr(substring, "SHARDS", 2)
+
 
+def results(df):
+    return Counter((r.doc_id, r.n_words, r.n_removed, tuple(words_of(r.kept_text))) for r in df.collect())
 
-def test_false_matches_are_found_and_avoided(spark):
+
+@pytest.mark.parametrize("batches,chunk_bytes,per_bucket,fan_in,fan", [(1, 1 << 20, 1 << 20, 4, 4096), (2, 300, 100, 4, 4), (5, 900, 700, 2, 4096)])
+def test_dedup(spark, monkeypatch, batches, chunk_bytes, per_bucket, fan_in, fan):
+    """Whatever batches, runs and steps; five batches compact."""
+    monkeypatch.setattr(substring, "FAN", fan)
+    monkeypatch.setattr(substring, "SPLIT_WINDOWS", 300)
+    compact, seen = substring.SubstringIndex.compact, []
+    monkeypatch.setattr(substring.SubstringIndex, "compact", lambda self, k=None: (seen.append(k), compact(self, k)))
+    rows = corpus(batches, 150)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int")
+    got = substring.dedup(df, 5, batches=batches, chunk_bytes=chunk_bytes, windows_per_bucket=per_bucket, fan_in=fan_in)
+    assert results(got) == brute(rows, 5)
+    assert all((r.kept_text == r.text) if not r.n_removed else r.kept_text is not None for r in got.collect())
+    assert bool(seen) == (batches == 5)
+
+
+def test_index_is_kept_reopened_grown_and_compacted(spark, tmp_path):
+    """Three calls in sequence equal brute force over all, a later call's documents after all earlier ones."""
+    path, earlier = str(tmp_path / "index"), []
+    options = {"width": 5, "batches": 2, "chunk_bytes": 500, "windows_per_bucket": 300}
+    for k, seed in enumerate((21, 22, 21)):
+        rows = corpus(seed, 30 + 40 * k)
+        if k == 2:  # smaller ids come later all the same
+            rows = [(d - 10**7 if d is not None else None, *r) for d, *r in rows]
+        index = substring.SubstringIndex.open(spark, path, **options)
+        assert len(index.chunks) == k and index.options["width"] == 5
+        got = index.add(spark.createDataFrame(rows, "doc_id long, text string, source string, n_words int"))
+        # brute force numbers ids by (call, id)
+        numbered = earlier + [(d if d is None else (k + 1) * 10**9 + d, *r) for d, *r in rows]
+        want = brute(numbered, 5) - brute(earlier, 5)
+        assert Counter((d if d is None else (k + 1) * 10**9 + d, *r) for (d, *r), n in results(got).items() for _ in range(n)) == want
+        earlier = numbered
+        if k == 1:
+            index.compact()
+            index.save()
+            assert all(len(r) <= 1 for r in index.runs)
+    windows = sum(n for r, n in Counter(tuple(words_of(t)[i : i + 5]) for d, t, *_ in earlier if d is not None for i in range(len(words_of(t)) - 4)).items())
+    index = substring.SubstringIndex.open(spark, path)
+    held = sum(len(substring.sorted_numbers(r.prints)) for rs in index.runs if rs for r in index.entries_in(rs, substring.RUN).collect())
+    distinct = len({tuple(words_of(t)[i : i + 5]) for d, t, *_ in earlier if d is not None for i in range(len(words_of(t)) - 4)})
+    assert held == distinct < windows
+
+
+def test_null_and_repeated_ids_meet_no_single_chunk(spark):
+    rnd = random.Random(4)
+    text = lambda: " ".join(rnd.choices([f"w{i}" for i in range(30)], k=40))
+    same = text()
+    rows = [(None, text()) for _ in range(200)] + [(7, same if i % 3 else text()) for i in range(200)] + [(5, same), (9, same), (9, text()), (11, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    chunks = substring.cut_into_chunks(df, 5, 2000).collect()
+    assert max(c.n_windows for c in chunks) <= 36 * 20 and len(chunks) > 20
+    assert sum(substring.unpacked(c.payload).num_rows for c in chunks) == len(rows) and len({c.chunk for c in chunks}) == len(chunks)
+    assert results(substring.dedup(df, 5, chunk_bytes=2000, batches=3)) == brute(rows, 5)
+
+
+def test_very_long_text_and_ties(spark):
+    rnd = random.Random(6)
+    long_ = " ".join(f"v{rnd.randrange(10**6)}" for _ in range(200_000))
+    rows = [(2, long_), (1, long_[: len(long_) // 2]), (3, long_), (3, long_)]
+    got = {(r.doc_id, r.n_words, r.n_removed) for r in substring.dedup(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=1 << 16).collect()}
+    want = {(d, w, g) for d, w, g, _ in brute(rows, 13)}
+    assert got == want
+
+
+def test_false_matches_are_found_and_avoided(spark, monkeypatch):
     """With few bits most fingerprints clash; verification must see it, and never let it through."""
+    monkeypatch.setattr(substring.Layout, "of", classmethod(lambda cls, n, width, per: cls(width, 1, 4)))
     rows = corpus(9, 40)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, x int")
     with pytest.raises(AssertionError, match="more bits"):
-        substring.dedup(df, 5, (1,), 300, bits=4, windows_per_bucket=1 << 20)
+        substring.dedup(df, 5, batches=1, chunk_bytes=300)
+
+
+def test_another_salt_gives_exact_results(spark, monkeypatch):
+    """Few bits with the first salt, enough with the next."""
+    made = substring.Layout.of.__func__
+    init = substring.Chunk.__init__
+    monkeypatch.setattr(substring.Layout, "of", classmethod(lambda cls, n, width, per: substring.replace(made(cls, n, width, per), buckets=1, bits=8)))
+    add = substring.replace
+    monkeypatch.setattr(substring, "replace", lambda x, **k: add(x, **k, **({"bits": 40} if k.get("salt", 1) > 1 else {})))
+    rows = corpus(3, 60)
+    got = substring.dedup(spark.createDataFrame(rows, "doc_id long, text string, source string, x int"), 5, batches=2, chunk_bytes=300)
+    assert results(got) == brute(rows, 5) and init is substring.Chunk.__init__
+
+
+def test_bits_and_buckets_follow_the_windows():
+    per = substring.WINDOWS_PER_BUCKET
+    for n in (0, 1, 10**6, 2 * 10**8, 2 * 10**13):
+        x = substring.Layout.of(n, 13, per)
+        assert x.buckets == max(1, -(-n // per))
+        assert x.bits == 64 or n * n / 2 / 2 ** x.all_bits() <= 1 / 32
+        assert sum(hi - lo for lo, hi in map(x.shard, range(substring.SHARDS))) == x.buckets
 
 
 def test_empty(spark):
