@@ -18,17 +18,19 @@ def content_hash(content: Column | str) -> Column:
 def stable_hash(text: Column | str) -> Column:
     """A 64-bit hash: the first 16 bytes of SHA-256, folded as r * 31 + b with wrap-around.
 
-    31 ** k has few bits, so each byte's share is taken modulo 2 ** 64 by decimals
-    and the sum is brought back to a signed long; nothing overflows under ANSI.
+    Each byte's share is b * 31 ** k, taken in halves of 32 bits: the sums of the
+    halves stay far below 2 ** 63, so nothing overflows under ANSI, and only longs
+    are computed with.
     """
     hexed = F.sha2(col(text), 256)
-    total = F.lit(0).cast("decimal(38,0)")
+    quarters = [F.conv(F.substring(hexed, 8 * q + 1, 8), 16, 10).cast("long") for q in range(4)]
+    low = high = F.lit(0).cast("long")
     for k in range(16):
-        byte = F.conv(F.substring(hexed, 2 * k + 1, 2), 16, 10).cast("decimal(3,0)")
-        total = total + byte * F.lit(str(pow(31, 15 - k, 1 << 64))).cast("decimal(20,0)")
-    wrapped = F.pmod(total.cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)"))
-    half, whole = (F.lit(str(1 << n)).cast("decimal(38,0)") for n in (63, 64))
-    return F.when(wrapped >= half, wrapped - whole).otherwise(wrapped).cast("long")
+        byte = F.shiftright(quarters[k // 4], 24 - 8 * (k % 4)).bitwiseAND(F.lit(255))
+        share = pow(31, 15 - k, 1 << 64)
+        low, high = low + byte * F.lit(share & 0xFFFFFFFF).cast("long"), high + byte * F.lit(share >> 32).cast("long")
+    top = (high + F.shiftright(low, 32)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.shiftleft(top, 32).bitwiseOR(low.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def path_of(hash_: Column | str, root: str = "blocks", suffix: str = "") -> Column:

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,10 +45,14 @@ def added(scope: DataFrame, parent: DataFrame) -> DataFrame:
 
 
 def incremental(scope: DataFrame, parent: DataFrame, backup_id: str) -> DataFrame:
-    """The manifest of parent and new entries; of a hash in both, the new one."""
-    new = manifest_rows(added(scope, parent), backup_id).withColumn("__new", F.lit(1))
-    old = parent.withColumn("backup_id", F.lit(backup_id)).withColumn("__new", F.lit(0))
-    return store.latest(old.unionByName(new), [F.col("__new")]).drop("__new")
+    """The manifest of parent and new entries."""
+    return united(parent, manifest_rows(added(scope, parent), backup_id), backup_id)
+
+
+def united(old: DataFrame, new: DataFrame, backup_id: str) -> DataFrame:
+    """Two manifests as one; of a hash in both, the new entry."""
+    rows = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1))).withColumn("backup_id", F.lit(backup_id))
+    return store.latest(rows, [F.col("__new")]).drop("__new")
 
 
 def to_copy(manifest: DataFrame, target_blocks: DataFrame) -> DataFrame:
@@ -94,6 +99,50 @@ def point(spark, backup_id: str, kind: str, created_at: datetime, target_id: str
     return out.withColumns({"entry_count": F.coalesce("entry_count", F.lit(0)), "total_bytes": F.coalesce("total_bytes", F.lit(0)), "completed_at": F.col("created_at")})
 
 
+def run(entries: DataFrame, blocks: DataFrame, root: str, backup_id: str, created_at: datetime, target_id: str, namespace: str | None = None, states: list[str] | None = None, key_prefix: str | None = None, parent_id: str | None = None) -> DataFrame:
+    """A backup into the folder ``root``, full or on top of a parent there: the blocks it lacks, the manifest, then the point, which is returned.
+
+    Blocks (content_hash, content) are appended, once each; manifest and point replace those of the same id.
+    """
+    spark = entries.sparkSession
+    scope = candidates(entries, namespace, states, key_prefix)
+    if parent_id is None:
+        made = full(scope, backup_id)
+    else:
+        made = incremental(scope, read_manifest(spark, f"{root}/manifests", parent_id, full(scope, backup_id).schema), backup_id)
+    write_manifests(made, f"{root}/manifests")
+    held = read_manifest(spark, f"{root}/manifests", backup_id, made.schema)
+    wanted = to_copy(held, target_blocks(spark, root))
+    blocks.join(wanted, "content_hash", "left_semi").select("content_hash", "content").dropDuplicates(["content_hash"]).write.mode("append").parquet(f"{root}/blocks")
+    out = point(spark, backup_id, "Full" if parent_id is None else "Incremental", created_at, target_id, held, parent_id, namespace, key_prefix)
+    write_points(out, f"{root}/points")
+    return read_points(spark, f"{root}/points").where(F.col("backup_id") == backup_id)
+
+
+def target_blocks(spark, root: str) -> DataFrame:
+    """The blocks of a target's folder; none before its first backup."""
+    schema = "content_hash string, content binary"
+    try:
+        return spark.read.schema(schema).parquet(f"{root}/blocks")
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+
+
+POINT = "kind string, parent_id string, target_id string, created_at timestamp_ntz, status string, namespace_id string, key_prefix string, entry_count long, total_bytes long, digest string, completed_at timestamp_ntz"
+
+
+def write_points(points: DataFrame, path: str) -> None:
+    """Points replace those of their id; a file each."""
+    points.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("backup_id").json(path)
+
+
+def read_points(spark, path: str) -> DataFrame:
+    try:
+        return spark.read.schema(f"{POINT}, backup_id string").json(path)
+    except AnalysisException:
+        return spark.createDataFrame([], f"{POINT}, backup_id string")
+
+
 def cancel(points: DataFrame, backup_id: str, at: datetime) -> DataFrame:
     """The point as failed at this time; an unknown one changes nothing."""
     hit = F.col("backup_id") == backup_id
@@ -163,7 +212,8 @@ def garbage(target_blocks: DataFrame, manifests: DataFrame) -> DataFrame:
 
 
 def write_manifests(manifest: DataFrame, path: str) -> None:
-    manifest.write.mode("append").partitionBy("backup_id").json(path)
+    """Manifests replace those of their ids."""
+    manifest.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("backup_id").json(path)
 
 
 def read_manifest(spark, path: str, backup_id: str, schema) -> DataFrame:

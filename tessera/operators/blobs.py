@@ -56,6 +56,12 @@ def read_chunked(manifest_: DataFrame, blocks: DataFrame, offset: int, length: i
     return parts.groupBy("content_hash").agg(F.unhex(F.array_join(F.transform(ordered, lambda p: p["x"]), "")).alias("slice"))
 
 
+def exists(blocks: DataFrame, hashes: DataFrame) -> DataFrame:
+    """(content_hash, present) of each hash asked."""
+    there = blocks.select("content_hash", F.lit(True).alias("present")).distinct()
+    return hashes.select("content_hash").distinct().join(there, "content_hash", "left").select("content_hash", F.coalesce("present", F.lit(False)).alias("present"))
+
+
 def erase(entries: DataFrame, blocks: DataFrame, manifests: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Entries, blocks and manifests without these objects; chunks that others use stay."""
     gone = hashes.select("content_hash")

@@ -100,6 +100,17 @@ def state_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return after.join(was, F.col("pool_id").eqNullSafe(F.col("__p"))).where("was <> state").select("pool_id", "was", "state")
 
 
+class Topology:
+    """Nodes by role, with a version that each listing raises by one."""
+
+    def __init__(self, nodes: DataFrame):
+        self.nodes, self.version = nodes, 0
+
+    def list(self, role: str | None = None) -> DataFrame:
+        self.version += 1
+        return topology(self.nodes, role).withColumn("version", F.lit(self.version))
+
+
 def topology(nodes: DataFrame, role: str | None = None) -> DataFrame:
     return (nodes if role is None else nodes.where(F.col("role") == role)).orderBy("node_id")
 
@@ -118,6 +129,11 @@ def resolve_shard(rows: DataFrame, n: int, namespace: str = "namespace_id") -> D
     return rows.withColumn("shard_id", hashing.shard(namespace, n))
 
 
+def migrate_shard(rows: DataFrame, shard_id: str, node_id: str) -> DataFrame:
+    """Nothing moves: shards are names computed from namespaces, held nowhere by themselves."""
+    return rows
+
+
 def rebalance_progress(moves: DataFrame, done: DataFrame) -> DataFrame:
     """(total, moved, ratio, is_complete) of the blocks to move, by those that have (an extension)."""
     there = done.select("content_hash", F.lit(1).alias("done")).distinct()

@@ -1,8 +1,9 @@
 """The object lifecycle: a transition table, folds over triggers, scans by policy, use cases.
 
-A fold is a composition of functions from state to state. Triggers of one object
-are composed in pieces, by day, and the pieces then in order, so that an object
-with any number of events meets no task in one array.
+A fold is a composition of functions from state to state. Triggers are dealt by
+ranges of (object, time), each of about ``PIECE`` of them; those of an object in a
+range are composed to one function, and an object's few functions then in order,
+so that an object with any number of events meets no task in one array.
 """
 
 from __future__ import annotations
@@ -20,6 +21,10 @@ from tessera.model import STATES, TRANSITIONS
 from tessera.operators import store
 
 
+#: Triggers of a range.
+PIECE = 50_000
+
+
 class GuardDenied(Exception):
     """A guard said no, and the caller asked to hear of it."""
 
@@ -143,13 +148,15 @@ def fold(steps: DataFrame, initial: DataFrame | None = None, transitions=TRANSIT
     ``initial`` has (object_id, state) of objects seen before; the others start from ``start``.
     """
     same = F.array(*map(F.lit, range(len(STATES))))
-    table = steps.select("object_id", F.to_date("ts").alias("day"), F.struct("ts", "seq", "trigger").alias("e"))
+    ranges = max(1, -(-steps.count() // PIECE))
+    dealt = steps.select("object_id", "ts", "seq", "trigger").repartitionByRange(ranges, "object_id", "ts", "seq")
+    table = dealt.select("object_id", F.spark_partition_id().alias("piece"), F.struct("ts", "seq", "trigger").alias("e"))
     sorted_ = F.array_sort(F.collect_list("e"))
-    days = table.groupBy("object_id", "day").agg(sorted_.alias("es"), F.count("*").alias("n"))
-    days = days.withColumn("step", _step(transitions))
+    pieces = table.groupBy("object_id", "piece").agg(sorted_.alias("es"), F.count("*").alias("n"))
+    pieces = pieces.withColumn("step", _step(transitions))
     after = F.aggregate("es", same, lambda f, e: F.when(F.map_contains_key(F.col("step"), e["trigger"]), F.transform(f, lambda s: F.get(F.element_at(F.col("step"), e["trigger"]), s))).otherwise(f))
-    days = days.select("object_id", "n", F.struct("day", after.alias("f")).alias("d"))
-    objects = days.groupBy("object_id").agg(F.array_sort(F.collect_list("d")).alias("ds"), F.sum("n").alias("n_steps"))
+    pieces = pieces.select("object_id", "n", F.struct("piece", after.alias("f")).alias("d"))
+    objects = pieces.groupBy("object_id").agg(F.array_sort(F.collect_list("d")).alias("ds"), F.sum("n").alias("n_steps"))
     if initial is None:
         first = F.lit(start)
     else:

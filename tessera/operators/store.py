@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,6 +107,20 @@ def patch(base: DataFrame, patches: DataFrame, as_of: datetime | None = None) ->
     return both.select(*out)
 
 
+def persist_hot(hot: DataFrame, path: str) -> None:
+    """Write the hot hashes beside the catalog, for the next start."""
+    hot.select("content_hash").write.mode("overwrite").json(path)
+
+
+def warm(base: DataFrame, path: str) -> DataFrame:
+    """The entries of the hashes that ``persist_hot`` wrote; none where it didn't. Hashes that have gone are skipped."""
+    try:
+        hot = base.sparkSession.read.schema("content_hash string").json(path)
+    except AnalysisException:
+        return clear(base)
+    return base.join(hot.distinct(), "content_hash", "left_semi")
+
+
 def hot_set(accesses: DataFrame, capacity: int = 512, threshold: int = 3) -> DataFrame:
     """(content_hash, accesses, last_tick) of the hashes read at least ``threshold`` times: the most read, then the latest, up to ``capacity``."""
     counts = accesses.groupBy("content_hash").agg(F.count("*").alias("accesses"), F.max("tick").alias("last_tick"))

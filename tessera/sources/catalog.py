@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.functions import hashing
 from tessera.functions.attributes import attribute, attributes
 from tessera.model import ENTRY, STATES, TIERS
 
 
+#: Folders are named by the namespace behind this mark, so that the blank one has a folder, too.
+MARK = "n-"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A catalog as written by ``write``; the namespace prunes folders."""
-    return spark.read.schema(ENTRY).parquet(path)
+    held = T.StructType([*[f for f in ENTRY.fields if f.name != "namespace_id"], T.StructField("folder", T.StringType())])
+    rows = spark.read.schema(held).parquet(path)
+    return rows.select(*[F.substring("folder", len(MARK) + 1, 1 << 30).alias(n) if n == "namespace_id" else n for n in ENTRY.names])
 
 
 def write(entries: DataFrame, path: str, mode: str = "overwrite") -> None:
-    entries.write.mode(mode).partitionBy("namespace_id").parquet(path)
+    rows = entries.withColumn("folder", F.concat(F.lit(MARK), "namespace_id")).drop("namespace_id")
+    rows.write.mode(mode).partitionBy("folder").parquet(path)
 
 
 def scan(entries: DataFrame, namespace: str | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""The catalog as one JSON document, {"Version": .., "Entries": [..]}."""
+"""The catalog as JSON documents, {"Version": .., "Entries": [..]}."""
 
 from __future__ import annotations
 
@@ -14,24 +14,23 @@ from tessera.model import ENTRY, STATES, TIERS
 NAMES = {"ContentHash": "content_hash", "NamespaceId": "namespace_id", "ObjectKey": "object_key", "Tags": "tags", "Attributes": "attributes", "Tier": "tier", "SizeBytes": "size_bytes", "ContentType": "content_type", "CreatedAt": "created_at", "ModifiedAt": "modified_at", "State": "state"}
 
 
+#: Entries of a document, about; a larger catalog has several.
+PER_DOCUMENT = 10_000
+
+
 def write(entries: DataFrame, path: str) -> None:
-    """Nulls left out, attributes as plain values; entries become one document, by hash (a document store is for small catalogs)."""
-    a = F.col("v")
-    plain = F.expr(
-        "concat('{', array_join(transform(array_sort(map_entries(attributes)), e -> concat(to_json(named_struct('k', e.key)), '|', "
-        "case e.value.kind when 'string' then to_json(named_struct('v', e.value.s)) when 'bool' then to_json(named_struct('v', e.value.b)) "
-        "when 'long' then to_json(named_struct('v', e.value.l)) else to_json(named_struct('v', e.value.d)) end)), ','), '}')"
-    )
-    del a
-    # {"k":"name"}|{"v":value} pairs become "name":value
-    joined = F.regexp_replace(plain, r'\{"k":("(?:[^"\\]|\\.)*")\}\|\{"v":("(?:[^"\\]|\\.)*"|[^}]*)\}', "$1:$2")
-    cols = [F.col(c).alias(n) for n, c in NAMES.items() if c not in ("attributes", "created_at", "modified_at")]
-    times = [F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias(n) for n, c in NAMES.items() if c in ("created_at", "modified_at")]
-    body = F.to_json(F.struct(*cols, *times))
-    with_attributes = F.concat(F.expr(f"substring({'__b'}, 1, length(__b) - 1)"), F.lit(',"Attributes":'), F.col("__a"), F.lit("}"))
-    rows = entries.withColumn("__b", body).withColumn("__a", joined).select("content_hash", with_attributes.alias("e"))
-    whole = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("content_hash", "e"))), lambda x: x["e"]), ",\n").alias("es"))
-    whole.select(F.concat(F.lit('{"Version":1,"Entries":['), "es", F.lit("]}")).alias("value")).write.mode("overwrite").text(path)
+    """Documents of bounded size, each in a folder of its own below ``path``, dealt by hash and in the order of hashes; nulls left out, attributes as plain values."""
+    plain = F.expr("transform_values(attributes, (k, v) -> case v.kind when 'string' then cast(v.s as variant) when 'bool' then cast(v.b as variant) when 'long' then cast(v.l as variant) else cast(v.d as variant) end)")
+    column = {
+        "attributes": plain,
+        **{c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS") for c in ("created_at", "modified_at")},
+    }
+    entry = F.to_json(F.struct(*[column.get(c, F.col(c)).alias(n) for n, c in NAMES.items()]))
+    parts = max(1, -(-entries.count() // PER_DOCUMENT))
+    rows = entries.select(F.pmod(F.xxhash64("content_hash"), F.lit(parts)).cast("int").alias("part"), "content_hash", entry.alias("e"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("content_hash", "e"))), lambda x: x["e"]), ",\n")
+    documents = rows.groupBy("part").agg(F.concat(F.lit('{"Version":1,"Entries":['), body, F.lit("]}")).alias("value"))
+    documents.write.mode("overwrite").partitionBy("part").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 
 def put(table: DataFrame, new: DataFrame) -> DataFrame:
-    """New keys replace old ones; a null value is an empty one."""
-    new = new.select("key", F.coalesce("value", F.expr("cast('' as binary)")).alias("value"))
+    """New keys replace old ones; a null value is an empty one. Of a key that ``new`` repeats the last by ``seq`` stays, if it has one, else the greatest value."""
+    value = F.coalesce("value", F.expr("cast('' as binary)"))
+    last = F.struct(F.col("seq"), value) if "seq" in new.columns else F.struct(value)
+    new = new.groupBy("key").agg(F.max_by(value, last).alias("value"))
     return table.join(new, "key", "left_anti").unionByName(new)
 
 
