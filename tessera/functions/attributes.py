@@ -57,6 +57,20 @@ def _all(tests: list[Column]) -> Column:
     return out
 
 
+def from_variant(value: Column) -> Column:
+    """A JSON value as an attribute: as ``from_json`` has it; a number with a point is a double, whatever it equals."""
+    kind = F.schema_of_variant(value)
+    as_ = lambda t: F.try_variant_get(value, "$", t)
+    return (
+        F.when(value.isNull() | F.is_variant_null(value), F.lit(None))
+        .when(kind == "STRING", attribute(as_("string"), "string"))
+        .when(kind == "BOOLEAN", attribute(as_("boolean"), "bool"))
+        .when(kind == "BIGINT", attribute(as_("long"), "long"))
+        .when(kind.startswith("DECIMAL") | kind.isin("DOUBLE", "FLOAT"), attribute(as_("double"), "double"))
+        .otherwise(attribute(F.to_json(value), "string"))
+    )
+
+
 def from_json(token: Column) -> Column:
     """A JSON token as an attribute: string, bool, long if it fits, else double; nested values as their text, null dropped."""
     t = F.trim(token)

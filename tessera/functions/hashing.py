@@ -100,7 +100,8 @@ def transition_line(from_: Column | str, trigger: Column | str, to: Column | str
 
 def cursor(value: Column | str, hash_: Column | str) -> Column:
     """The token of a page that ends with this row, base64 over JSON."""
-    return F.base64(F.to_json(F.struct(col(value).alias("v"), col(hash_).alias("h")), {"ignoreNullFields": "false"}).cast("binary"))
+    token = F.base64(F.to_json(F.struct(col(value).alias("v"), col(hash_).alias("h")), {"ignoreNullFields": "false"}).cast("binary"))
+    return F.translate(token, "\r\n", "")  # no line ends, whatever the session's setting
 
 
 def cursor_hash(token: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.errors import AnalysisException
 
-from tessera.functions.attributes import from_json
+from tessera.functions.attributes import from_variant
 from tessera.model import ENTRY, STATES, TIERS
 
 #: JSON names of the fields, in order.
@@ -52,7 +52,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce("NamespaceId", F.lit("")).alias("namespace_id"),
         F.col("ObjectKey").alias("object_key"),
         F.coalesce("Tags", F.expr("cast(map() as map<string,string>)")).alias("tags"),
-        F.coalesce(F.map_filter(F.transform_values(tokens, lambda k, v: from_json(F.to_json(v))), lambda k, v: v.isNotNull()), F.expr(f"cast(map() as {ENTRY['attributes'].dataType.simpleString()})")).alias("attributes"),
+        F.coalesce(F.map_filter(F.transform_values(tokens, lambda k, v: from_variant(v)), lambda k, v: v.isNotNull()), F.expr(f"cast(map() as {ENTRY['attributes'].dataType.simpleString()})")).alias("attributes"),
         F.when(tier.isin(*TIERS), tier).otherwise("Hot").alias("tier"),
         F.coalesce(F.col("SizeBytes").try_cast("long"), F.lit(0).cast("long")).alias("size_bytes"),
         F.col("ContentType").alias("content_type"),
