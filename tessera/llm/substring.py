@@ -51,6 +51,7 @@ from dataclasses import asdict, dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -256,9 +257,10 @@ def entries(rows: list[tuple]) -> pa.Table:
 
 
 def windows_of(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(fingerprint, owner, whether it is new, place in its range of buckets) of all entries of a group."""
+    """(fingerprint, owner, whether it is new, place in its range of buckets) of all entries of a group, those of the index first, then in the order of chunks."""
     p, o, new, inner = [], [], [], []
-    for kind, chunk, prints, owners, places in zip(*(group.column(n).to_pylist() for n in ("kind", "chunk", "prints", "owners", "inner"))):
+    rows = zip(*(group.column(n).to_pylist() for n in ("kind", "chunk", "prints", "owners", "inner")))
+    for kind, chunk, prints, owners, places in sorted(rows, key=lambda r: (r[0], r[1] or 0)):
         p.append(textvec.unvarint(prints) if kind == RANGE else sorted_numbers(prints))
         o.append(np.full(len(p[-1]), chunk, np.int64) if owners is None else textvec.unvarint(owners).astype(np.int64))
         new.append(np.full(len(p[-1]), kind != RUN))
@@ -283,8 +285,10 @@ def merge(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
     """The sorted runs of one bucket: what new chunks are told, and the bucket of the new run."""
     bucket = key[0].as_py()
     p, o, asks, _ = windows_of(group)
-    # the first chunk comes first; those of the index are earlier than all new ones
-    order = np.lexsort((o, p))
+    # the first chunk comes first; those of the index are earlier than all new ones. Runs of one
+    # chunk each are in order already
+    mixed = pc.any(pc.and_(pc.equal(group.column("kind"), CHUNK_RUN), pc.is_valid(group.column("owners")))).as_py()
+    order = np.lexsort((o, p)) if mixed else np.argsort(p, kind="stable")
     p, o, asks = p[order], o[order], asks[order]
     new = np.ones(len(p), bool)
     new[1:] = p[1:] != p[:-1]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 MASK = (1 << 64) - 1
@@ -65,15 +67,28 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64(out)
 
 
+@lru_cache(maxsize=8)
+def _window_powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(base, n), _powers(pow(base, -1, 1 << 64), n)
+
+
 def window_hashes(word_hashes: np.ndarray, width: int, salt: int = 1) -> np.ndarray:
-    """A 64-bit hash of each run of ``width`` words; empty if there are fewer."""
+    """A 64-bit hash of each run of ``width`` words; empty if there are fewer.
+
+    A polynomial in an odd base of the words' hashes, as a difference of running
+    sums, brought back by the base's inverse: the same for equal words anywhere.
+    """
     n = len(word_hashes) - width + 1
     if n <= 0:
         return np.empty(0, np.uint64)
-    base, out = (BASE * (2 * salt + 1)) & MASK, np.zeros(n, np.uint64)
-    for k in range(width):
-        out *= np.uint64(base)
-        out += word_hashes[k : k + n]
+    up, down = _window_powers((BASE * (2 * salt + 1)) & MASK, PIECE + width)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, PIECE):
+        part = word_hashes[a : a + PIECE + width - 1]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(part * up[: len(part)], out=sums[1:])
+        k = len(part) - width + 1
+        out[a : a + k] = (sums[width:] - sums[:k]) * down[:k]
     return mix64(out)
 
 
