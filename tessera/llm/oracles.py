@@ -58,9 +58,9 @@ m AS (SELECT *, ((CASE WHEN passes > 0 THEN start ELSE last_start END)::BIGINT +
 i AS (SELECT m.*, weight FROM m JOIN s ON s.source IS NOT DISTINCT FROM m.source)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies, CASE WHEN copies > 0 THEN {_at('first_share')} END AS first_position, CASE WHEN copies > 0 THEN {_at('last_share')} END AS last_position FROM i"""
 
-TOP_K = f"""WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)) AS v FROM embeddings
+TOP_K = f"""WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor({topk.SCALE} * x::DOUBLE)::HUGEINT) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, coalesce(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])), 0)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
 r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s)
 SELECT * FROM r WHERE rank <= {topk.K}"""
 

@@ -1,6 +1,7 @@
 import math
 import random
 
+import pyarrow as pa
 import pytest
 
 from tessera.llm import topk
@@ -47,13 +48,42 @@ def test_blocks_prune(spark, monkeypatch):
     rnd = np.random.default_rng(0)
     m = np.floor(64 * rnd.normal(0, 0.1, (20_000, 16)) * rnd.exponential(1, (20_000, 1)))
     turn = np.linalg.eigh(m.T @ m)[1][:, ::-1]
-    s = topk.Slice(np.arange(20_000), m, turn, 8)
-    queries = m[:40]
-    found = topk.search(s, np.arange(40), queries, np.full(40, -np.inf), turn, 20, 8)
-    scores = queries @ m.T
-    for q, (ids, got) in enumerate(found):
-        order = [i for i in np.lexsort((np.arange(20_000), -scores[q])) if i != q][:20]
-        assert ids.tolist() == order and got.tolist() == scores[q][order].tolist()
+    vectors = pa.array(list(m.astype(np.int64)), pa.list_(pa.int64()))
+    for whole in (True, False):
+        s = topk.Slice(np.arange(20_000), vectors, 16, turn, 8, whole)
+        found = topk.search(s, np.arange(40), vectors.slice(0, 40), np.full(40, -np.inf), turn, 20)
+        scores = m[:40] @ m.T
+        for q, (ids, got) in enumerate(found):
+            order = [i for i in np.lexsort((np.arange(20_000), -scores[q])) if i != q][:20]
+            assert ids.tolist() == order and got.tolist() == scores[q][order].tolist()
+
+
+def test_large_components_are_exact(spark):
+    rnd = random.Random(3)
+    data = [(i, [rnd.choice([-1, 1]) * rnd.randint(1, 10**6) * 1.0 for _ in range(12)]) for i in range(200)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, topk.F.expr("vec_id % 20 = 0"), 10, head=20, slice_rows=40).collect()
+    assert sorted(map(tuple, got)) == brute(data, 10, 20)
+
+
+def test_too_large_is_an_error(spark):
+    for x, why in ((1e15, "beyond a long"), (1e19, "too large")):
+        df = spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match=why):
+            topk.top_k(df, topk.F.expr("vec_id = 0")).collect()
+
+
+def test_lengths_prune_before_the_shuffle(spark):
+    """Few long vectors, many short ones: queries and vectors meet in a small part of the grid, and nothing is lost."""
+    rnd = random.Random(8)
+    data = [(i, [rnd.gauss(0, 1) * (20 if i % 50 == 0 else 0.05) for _ in range(6)]) for i in range(3000)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    found = topk.Search(df, topk.F.expr("vec_id % 20 = 0"), 5, 64, 100, 100, 25, 4)
+    left, right = found.cells()
+    assert found.slices.select("slice").distinct().count() > 15
+    assert right.count() < 150 * 30 / 3 and left.count() < 3000 * 6 / 2
+    got = sorted(map(tuple, found.result().collect()))
+    assert got == brute(data, 5, 20)
 
 
 def test_empty(spark):
