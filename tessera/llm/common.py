@@ -55,7 +55,7 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, label: str, partition_by: list[str] | None = None, path: str | None = None) -> DataFrame:
+def stage(df: DataFrame, label: str, partition_by: list[str] | None = None, path: str | None = None, options: dict[str, str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder, or to ``path``, and read it back: later plans start there.
 
     Unlike a cached table it survives lost executors. The shuffle files of the
@@ -66,7 +66,7 @@ def stage(df: DataFrame, label: str, partition_by: list[str] | None = None, path
     before = spark.conf.get(key, "false")
     spark.conf.set(key, "true")
     try:
-        writer = df.write.mode("overwrite").option("compression", "zstd")
+        writer = df.write.mode("overwrite").option("compression", "zstd").options(**(options or {}))
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
     finally:
         spark.conf.set(key, before)

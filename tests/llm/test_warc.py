@@ -41,8 +41,11 @@ def brute(data, least):
 def test_round_trip(spark, tmp_path, least, archive_bytes):
     data = rows()
     df = spark.createDataFrame(data, "page_id long, url string, html string, key int")
-    manifest = warc.write(df, str(tmp_path), least, archive_bytes)
-    got = warc.read(manifest, str(tmp_path)).collect()
+    manifest = warc.write(df, least, archive_bytes)
+    got = warc.read(manifest).collect()
+    exported = warc.export(manifest, str(tmp_path / "files")).collect()
+    assert {(r.archive, r.bytes) for r in exported} == {(r.archive, r.bytes) for r in manifest.collect()} == {(f.name, f.stat().st_size) for f in (tmp_path / "files").iterdir() if f.suffix == ".zst"}
+    assert sorted(warc.read(warc.files(spark, str(tmp_path / "files"))).collect(), key=str) == sorted(got, key=str)
     assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == brute(data, least)
     html = {}
     for i, _, h, _ in data:
@@ -61,8 +64,10 @@ def test_archives_are_frames_with_a_dictionary_first():
     assert list(warc.records_of(data)) == records
     plain = sum(len(zstandard.ZstdCompressor(level=3).compress(r)) for r in records)
     assert len(data) - size < 0.8 * plain
-    for few in ([], records[:1], records[:9]):
-        assert list(warc.records_of(warc.archive(few))) == few
+    for few in ([], records[:1], records[:9], [b"x" * 10], [warc.FULL_DICTIONARY * 9], [b"\0" * 5000] * 3, [b"a"]):
+        made = warc.archive(few)
+        assert list(warc.records_of(made)) == few
+        assert bool(struct.unpack_from("<II", made)[1]) == bool(few)
     with pytest.raises(ValueError):
         list(warc.records_of(data[:-3]))
 
@@ -85,5 +90,26 @@ def test_record_ids_hold_page_ids():
 
 
 def test_empty_table(spark, tmp_path):
-    manifest = warc.write(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "none"))
-    assert warc.read(manifest, str(tmp_path / "none")).count() == 0
+    manifest = warc.write(spark.createDataFrame([], "page_id long, url string, html string"))
+    assert warc.read(manifest).count() == 0
+
+
+def test_a_file_system_that_only_hadoop_knows(spark, tmp_path):
+    """Archives are written and read, and exported, below a mount."""
+    conf, key = spark._jsc.hadoopConfiguration(), "fs.viewfs.mounttable.archives.link./all"
+    (tmp_path / "real").mkdir()
+    conf.set(key, f"file://{tmp_path}/real")
+    try:
+        data = [(i, f"http://x/{i}", "<p>some text</p>" * i, 1) for i in range(30)]
+        df = spark.createDataFrame(data, "page_id long, url string, html string, n int")
+        held = warc.write(df, path="viewfs://archives/all/rows")
+        assert sorted(r.page_id for r in warc.read(held).collect()) == list(range(30))
+        warc.export(held, "viewfs://archives/all/files")
+        assert warc.read(warc.files(spark, "viewfs://archives/all/files")).count() == 30
+        assert list((tmp_path / "real" / "files").glob("*.warc.zst"))
+    finally:
+        conf.unset(key)
+
+
+def test_names_of_file_systems():
+    assert warc.SCHEMES["s3a"] == "s3"
