@@ -83,3 +83,38 @@ def test_empty_tables(spark):
     assert max(r.score for r in toxicity.classify(docs, none).collect()) < 1e-9
     model = toxicity.train(docs, labels.selectExpr("doc_id", "if(doc_id % 2 = 0, null, toxic) as toxic"))
     assert toxicity.classify(docs.limit(0), model).count() == 0
+
+
+def test_pairs_are_counted_and_the_sample_is_spread(spark):
+    docs, labels = frames(spark, *corpus(3, 800, (0.05, 0.7)))
+    model = toxicity.train(docs, labels)
+    named = [t for (t,) in docs.join(labels.where("toxic is not null"), "doc_id").select("text").collect() if toxicity.swapped(t or "")]
+    assert model.pairs == len(named) > 0
+
+
+def test_fit_minimises_the_regularised_loss():
+    """Against the loss written out, by its numeric gradient: what Adam ends at is a minimum."""
+    import pyarrow as pa
+
+    rnd = random.Random(1)
+    rows = []
+    for _ in range(300):
+        at = sorted(rnd.sample(range(6), rnd.randint(1, 4)))
+        other = sorted({0 if i == 1 else 1 if i == 0 else i for i in at}) if rnd.random() < 0.5 else None
+        rows.append({"toxic": int((3 in at) ^ (rnd.random() < 0.1)), "at": at, "n": [rnd.randint(1, 3) for _ in at], "other_at": other, "other_n": None if other is None else [1] * len(other)})
+    dense = lambda at, n: np.array([np.log1p(dict(zip(at, n)).get(i, 0)) for i in range(6)])
+    x = np.array([dense(r["at"], r["n"]) for r in rows])
+    d = np.array([dense(r["at"], r["n"]) - dense(r["other_at"], r["other_n"]) if r["other_at"] is not None else np.zeros(6) for r in rows])
+    y = np.array([r["toxic"] for r in rows])
+
+    def loss(w, b, strength):
+        z = x @ w + b
+        return np.mean(np.logaddexp(0, z) - y * z) + 3e-4 / 2 * w @ w + strength * np.mean((d @ w) ** 2)
+
+    for strength in (0.0, 1.0, 20.0):
+        w, b = toxicity.fit(pa.Table.from_pylist(rows), 6, rounds=600, counterfactual=strength)
+        best = loss(w, b, strength)
+        for _ in range(200):
+            step = np.random.default_rng(_).normal(0, 0.02, 7)
+            assert loss(w + step[:6], b + step[6], strength) > best - 1e-4
+    assert abs(w[0] - w[1]) < 0.2
