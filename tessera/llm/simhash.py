@@ -8,8 +8,10 @@ their bits are the key under which a fingerprint is filed, once for every
 starting segment. Fingerprints under one key are compared, chain by chain as
 the ring says, and in full only if every chain stays within its budget.
 
-Keys with many fingerprints (a dense cluster, or a common text's neighbours) are
-not compared in pairs. Each fingerprint in one names itself and each fingerprint
+The number of segments follows the number of fingerprints, so that a key's bits (24
+for 8 segments, 28 for 16, 31 for 64) leave few fingerprints under one by chance. Keys
+that have many all the same (a dense cluster, or a common text's neighbours) are not
+compared in pairs, which would grow with the square of a cluster. Each fingerprint in one names itself and each fingerprint
 one bit away; two that name the same one differ in at most two bits, and any two
 that differ in at most two name one together. Each is linked to the least of
 those that share a name: at most 65 links a fingerprint, and the same groups.
@@ -20,7 +22,9 @@ representatives never meet on the driver.
 
 Null, empty and blank texts have fingerprint 0 and are linked like any other. A
 null doc_id is in its group but never names it; a group without ids has a null
-component_id. Rows that repeat are all returned.
+component_id. Rows that repeat are all returned. Texts are hashed whole, however long.
+Columns named fp, root and component_id are replaced, others carried. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import keyed_lookup, stage, table
+from tessera.llm.common import drop_staged, keyed_lookup, stage, table
 
 WIDTH, SEED, LIMIT, SEGMENTS = 3, 42, 2, 8
 #: Fingerprints under one key that are still compared in pairs.
@@ -104,13 +108,22 @@ class Ring:
         return out
 
 
+def ring_for(n: int, limit: int = LIMIT, most: int = 4) -> Ring:
+    """The ring of fewest segments under whose keys ``n`` fingerprints come ``most`` at a time, by chance."""
+    for segments in (8, 16, 32):
+        ring = Ring(limit, segments)
+        if n >> bin(ring.key_bits(0)).count("1") < most:
+            return ring
+    return Ring(limit, 64)
+
+
 def signed(bits: int) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
 def links(distinct: DataFrame, ring: Ring | None = None, dense: int = DENSE) -> DataFrame:
     """Edges (a, b), a < b, over distinct ``fp`` that join all that differ in at most two bits, and no others."""
-    ring = ring or Ring()
+    ring = ring or ring_for(distinct.count(), LIMIT)
     if ring.limit != 2:
         raise ValueError("dense keys are joined for a limit of two bits")
     starts = range(ring.segments)
@@ -148,6 +161,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b); root is the least node reachable."""
     edges = stage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "edges")
     while not are_stars(edges):
+        before = edges
         # large star: every larger neighbour moves to the least of the neighbours
         both = edges.select(F.col("b").alias("u"), F.col("a").alias("v")).union(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
@@ -157,6 +171,8 @@ def components(edges: DataFrame) -> DataFrame:
         joined = keyed_lookup(moved, least, "b")
         edges = joined.where("a > m").select(F.col("m").alias("a"), F.col("a").alias("b")).union(joined.select(F.col("m").alias("a"), "b"))
         edges = stage(edges.distinct(), "small-star")
+        for used in (before, moved):
+            drop_staged(used)
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 

@@ -47,12 +47,16 @@ def cluster(rnd, n, spread):
     return out
 
 
-@pytest.mark.parametrize("dense", [1, 4, 1000])
-def test_links_join_the_same_groups_as_all_pairs(spark, dense):
+def test_segments_follow_the_number_of_fingerprints():
+    assert [simhash.ring_for(n).segments for n in (0, 10**6, 10**8, 2 * 10**9, 10**11)] == [8, 8, 16, 32, 64]
+
+
+@pytest.mark.parametrize("dense,segments", [(1, 8), (4, 8), (1000, 8), (4, 16), (1000, 64)])
+def test_links_join_the_same_groups_as_all_pairs(spark, dense, segments):
     rnd = random.Random(7)
     prints = {rnd.getrandbits(64) for _ in range(150)} | cluster(rnd, 60, True) | cluster(rnd, 60, False) | {0, 1, 3, (1 << 64) - 1}
     df = spark.createDataFrame([(simhash.signed(p),) for p in prints], "fp long")
-    edges = simhash.links(df, dense=dense)
+    edges = simhash.links(df, simhash.Ring(segments=segments), dense=dense)
     unsigned = lambda p: p % (1 << 64)
     assert all((r.a ^ r.b).__and__((1 << 64) - 1).bit_count() <= 2 for r in edges.collect())
     want = brute_components(prints)
