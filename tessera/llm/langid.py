@@ -14,11 +14,15 @@ language; a text is ambiguous if the next one's loss is nearly as small.
 
 Training counts are summed where the texts are: a partition gives one row of
 counts for each language, and rows are added up by (language, slice). What
-reaches the driver are counts by language and hash, of a fixed size.
+reaches the driver, and goes to every task as the model, are numbers by language and
+hash: ``SLOTS`` for each of at most ``MOST_LANGS`` languages; more are an error.
 
 Null texts, and texts without a letter, are 'und' with score 0 and ambiguous.
 Null languages teach nothing; without any language every text is 'und'. With a
-single language that one is the answer. Texts are read whole, piece by piece.
+single language that one is the answer. Texts are read whole, piece by piece, however
+long. Rows that repeat are counted and answered each. Of codewords with equal losses
+the first language in order is taken. Columns named like results are replaced, others
+carried. Empty tables give no languages, or an empty result.
 """
 
 from __future__ import annotations
@@ -37,18 +41,20 @@ SLOTS = 1 << 15
 SLICE = 1 << 12
 PIECE = 1 << 16
 UNKNOWN = "und"
+MOST_LANGS = 512
 #: The loss gap to the next codeword, a bit, under which a text is ambiguous.
 AMBIGUOUS = 0.05
 
 
-def letters_of(text: str) -> np.ndarray | None:
-    """Code points of the lower-cased text with runs of other characters as one space; None without a letter."""
+def letters_of(text: str, behind_letter: bool = True) -> tuple[np.ndarray, bool]:
+    """Code points of the lower-cased text with runs of other characters as one space, and whether it ends with a letter.
+
+    ``behind_letter`` says what stands before it: a run that goes on from there has its space already.
+    """
     lowered = np.frombuffer(text.lower().encode("utf-32-le", "replace"), np.uint32)
     alpha = _letter_table()[np.minimum(lowered, 0x10FFFF)]
-    if not alpha.any():
-        return None
-    kept = alpha | np.concatenate(([True], alpha[:-1]))
-    return np.where(alpha, lowered, 32)[kept]
+    kept = alpha | np.concatenate(([behind_letter], alpha[:-1]))
+    return np.where(alpha, lowered, 32)[kept], bool(alpha[-1]) if len(alpha) else behind_letter
 
 
 _table: list[np.ndarray] = []
@@ -60,22 +66,30 @@ def _letter_table() -> np.ndarray:
     return _table[0]
 
 
-def slots(points: np.ndarray, n_slots: int = SLOTS) -> np.ndarray:
-    """The slot of every 1-, 2- and 3-gram."""
+def slots(points: np.ndarray, n_slots: int = SLOTS, skip: int = 0) -> np.ndarray:
+    """The slot of every 1-, 2- and 3-gram that doesn't end within the first ``skip`` points."""
     p = points.astype(np.uint64)
     out, h = [], np.zeros(len(p), np.uint64)
     for n in range(1, 4):
         h = h[: len(p) - n + 1] * np.uint64(0x100000001B3) + p[n - 1 :] + np.uint64(n)
-        m = h * np.uint64(0x9E3779B97F4A7C15)
+        m = h[max(0, skip - n + 1) :] * np.uint64(0x9E3779B97F4A7C15)
         out.append((m >> np.uint64(40)).astype(np.int64) & (n_slots - 1))
         if len(h) < 2:
             break
     return np.concatenate(out)
 
 
-def pieces(text: str) -> Iterator[str]:
+def grams(text: str | None, n_slots: int = SLOTS) -> Iterator[np.ndarray]:
+    """The slots of a whole text's n-grams, piece by piece, those that straddle pieces too; none without a letter."""
+    if not any(map(str.isalpha, text or "")):
+        return
+    tail, letter = np.empty(0, np.uint32), True
     for i in range(0, len(text), PIECE):
-        yield text[i : i + PIECE]
+        points, letter = letters_of(text[i : i + PIECE], letter)
+        joined = np.concatenate((tail, points))
+        if len(points):
+            yield slots(joined, n_slots, len(tail))
+        tail = joined[-2:]
 
 
 def counts(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
@@ -86,9 +100,8 @@ def counts(docs: DataFrame, n_slots: int = SLOTS) -> DataFrame:
         for batch in batches:
             for text, lang in zip(batch.column(0), batch.column(1).to_pylist()):
                 mine = seen.setdefault(lang, np.zeros(n_slots, np.int64))
-                for piece in pieces(text.as_py()):
-                    if (points := letters_of(piece)) is not None:
-                        mine += np.bincount(slots(points, n_slots), minlength=n_slots)
+                for at in grams(text.as_py(), n_slots):
+                    mine += np.bincount(at, minlength=n_slots)
         for lang, mine in seen.items():
             parts = mine.reshape(-1, min(SLICE, n_slots))
             yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(parts)), "slice": pa.array(range(len(parts)), pa.int32()), "counts": pa.array(list(parts), pa.list_(pa.int64()))})
@@ -127,11 +140,9 @@ class Model:
 
     def margins(self, text: str) -> np.ndarray | None:
         total, n = np.zeros(self.weights.shape[1]), 0
-        for piece in pieces(text):
-            if (points := letters_of(piece)) is not None:
-                at = slots(points, len(self.weights))
-                total += self.weights[at].sum(0)
-                n += len(at)
+        for at in grams(text, len(self.weights)):
+            total += self.weights[at].sum(0)
+            n += len(at)
         return total / n if n else None
 
     def decode(self, margins: np.ndarray) -> tuple[str, float, bool]:
@@ -166,6 +177,9 @@ def fit(langs: list[str], table_: np.ndarray) -> Model:
 
 
 def train(docs: DataFrame, n_slots: int = SLOTS) -> Model:
+    named = docs.where("text is not null and lang is not null").select("lang").distinct().limit(MOST_LANGS + 1).count()
+    if named > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     rows = counts(docs, n_slots).toPandas()
     langs = sorted(set(rows["lang"]))
     table_ = np.zeros((len(langs), n_slots))
