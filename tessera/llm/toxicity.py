@@ -232,6 +232,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, n_featur
     place[chosen] = np.arange(len(chosen), dtype=np.int32)
     n = max(1, len(chosen))
     rows = featurised(sample, place, n).toArrow()
+    # in one order, so that sums, and scores, are the same at each run
+    listed = rows.select(["toxic", "at", "n", "other_at", "other_n"]).to_pylist()
+    rows = rows.take(sorted(range(len(listed)), key=lambda i: [x if x is not None else [] for x in listed[i].values()]))
     weights, bias = fit(rows, n, counterfactual=counterfactual)
     return Model(place, weights, bias, len(rows) - rows.column("other_at").null_count)
 
