@@ -23,7 +23,9 @@ through its task, whatever its length, and only one turn is held at a time.
 
 Null texts are empty texts and null roles the role ''; turns of a conversation
 are ordered by (turn, role, text), so that ties and repeated rows have one
-order; a null conv_id is a conversation of its own, the null one.
+order; a null conv_id is a conversation of its own, the null one. Texts are kept whole,
+however long. Only conv_id, turn, role and text are read, so that other columns can't
+clash. An empty table has the query's own conversation -7 alone.
 """
 
 from __future__ import annotations
