@@ -164,6 +164,12 @@ def reaches(q_norm, norm, floor):
     return q_norm * norm * (1 + 1e-9) + 1e-6 >= floor
 
 
+def dealt(staged: DataFrame, column: str, n: int) -> DataFrame:
+    """Numbers of partitions in order as ``n`` numbers in order: several to one where Spark has made more partitions than asked for."""
+    made = (staged.agg(F.max(column)).first()[0] or 0) + 1
+    return staged.withColumn(column, F.floor(F.col(column) * n / made).cast("int")) if made > n else staged
+
+
 class Search:
     """The table's slices and queries, and which of them meet."""
 
@@ -176,7 +182,7 @@ class Search:
         turn = rotation(rows, width)
         n_slices = max(1, -(-n // slice_rows))
         ranged = rows.repartitionByRange(n_slices, F.desc("norm2"), "vec_id", F.xxhash64("v"))
-        self.slices = stage(ranged.withColumn("slice", F.spark_partition_id()), "slices")
+        self.slices = dealt(stage(ranged.withColumn("slice", F.spark_partition_id()), "slices"), "slice", n_slices)
         # the longest of each slice, a number for every ``slice_rows`` vectors
         tops = self.slices.groupBy("slice").agg(F.max("norm2").alias("top")).orderBy("slice").toArrow()
         at, top = tops.column("slice").to_numpy(), np.sqrt(tops.column("top").to_numpy())
@@ -203,7 +209,7 @@ class Search:
         queries = stage(queries.where("reach > 0"), "queries")
         groups = max(1, -(-queries.count() // group_rows))
         grouped = queries.repartitionByRange(groups, F.desc("reach"), F.xxhash64("query_id", "q"))
-        self.queries = stage(grouped.withColumn("group", F.spark_partition_id()), "grouped")
+        self.queries = dealt(stage(grouped.withColumn("group", F.spark_partition_id()), "grouped"), "group", groups)
 
     def cells(self) -> tuple[DataFrame, DataFrame]:
         """Copies of vectors and of queries by (slice, group), where they meet."""
