@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from tessera import config
 from tessera.functions import hashing
 from tessera.functions.attributes import from_json
-from tessera.jobs import _BLOCKS, _SCOPE, AS_OF, CATALOG, SHOWN, _blocks, _contents, _scope, _with_blocks, job
+from tessera.jobs import _BLOCKS, _EVENTS, _SCOPE, AS_OF, CATALOG, SHOWN, _blocks, _contents, _scope, _with_blocks, job
 from tessera.model import STATES
 from tessera.operators import backup, blobs, cluster, lifecycle, maintain, store
 from tessera.plans import query
 from tessera.plans.query import AttributeRange, Query
 from tessera.scratch import scratch
 from tessera.sources import catalog, files, json_store, kv
+from tessera.streaming import lifecycle as stream
 
 _written: dict[tuple[str, str], str] = {}
 
@@ -339,6 +340,26 @@ def _moderated(spark: SparkSession, sf: str) -> DataFrame:
     return out.unionByName(as_rows(entries, "entry")).unionByName(as_rows(blocks.withColumn("size_bytes", F.octet_length("content").cast("long")), "block"))
 
 
+@job("q_stream_states", f"{_EVENTS} SELECT object_id, max_by(s, i) AS state, max(i)::BIGINT AS n_steps FROM walk GROUP BY 1")
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The events as a stream of files in the order of time, a micro-batch each; the last state of every object."""
+    source, out, checkpoint = (scratch(spark, n) for n in ("steps", "states", "stream"))
+    steps = lifecycle.triggers_of_events(spark.read.parquet(f"{sf}/events.parquet")).withColumn("ts", F.col("ts").cast("timestamp"))
+    low, high = steps.agg(F.min("ts"), F.max("ts")).first()
+    for k in range(3):
+        a, b = (low + (high - low) * i / 3 for i in (k, k + 1))
+        part = steps.where((F.col("ts") >= a) & ((F.col("ts") < b) | F.lit(k == 2)))
+        part.coalesce(1).write.mode("append").parquet(source)
+    rows = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
+    def keep(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    stream.states(rows).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    seen = spark.read.schema("object_id long, state string, n_steps long").parquet(*[f"{out}/batch={n}" for n in range(3)])
+    return seen.groupBy("object_id").agg(F.max_by("state", "n_steps").alias("state"), F.max("n_steps").alias("n_steps"))
+
+
 # ---- backups
 
 
