@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import hashing
@@ -120,11 +120,11 @@ def _page_walk(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("content_hash", F.floor((F.col("position") - 1) / 7).cast("long").alias("page"))
 
 
-@job("q_get_many", f"{CATALOG} SELECT row_number() OVER (ORDER BY d2.doc_id) AS pos, cat.content_hash, size_bytes FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL) d2 JOIN cat ON cat.content_hash = d2.h")
+@job("q_get_many", f"{CATALOG} SELECT d2.doc_id AS pos, cat.content_hash, size_bytes FROM (SELECT doc_id, sha256(text) AS h FROM documents WHERE text IS NOT NULL) d2 JOIN cat ON cat.content_hash = d2.h")
 def _get_many(spark: SparkSession, sf: str) -> DataFrame:
     """Every document asks for its own content."""
     docs = spark.read.parquet(f"{sf}/documents.parquet").where("text is not null")
-    asks = docs.select(F.row_number().over(Window.orderBy("doc_id")).cast("long").alias("pos"), hashing.content_hash("text").alias("content_hash"))
+    asks = docs.select(F.col("doc_id").alias("pos"), hashing.content_hash("text").alias("content_hash"))
     return store.get_many(catalog.from_documents(spark, sf), asks).select("pos", "content_hash", "size_bytes")
 
 
