@@ -4,6 +4,13 @@ Each stage takes what its predecessor kept, in the columns of ``documents``, and
 is written as Parquet before the next one reads it. SQL can't express the
 language classifiers, fingerprint groups and tokens, so there is no oracle;
 tests hold every stage against brute force.
+
+Null, empty and letterless texts go at the first stage, whatever their other columns
+hold. Null languages teach nothing, null sources are a source of their own. Rows without
+doc_id stay, as the last of their group of near copies, and lose no passage. Rows that
+repeat are near copies of each other: one stays. Texts are taken whole, however long.
+Columns beside those of ``documents`` are carried through all stages but the last, which
+reads doc_id and text alone. An empty table gives an empty result of the same columns.
 """
 
 from __future__ import annotations
