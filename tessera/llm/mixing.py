@@ -24,8 +24,8 @@ Scale: a source is cut into buckets of the MD5 order, so that running sums never
 meet in one task: sums by (source, bucket), running sums of these few numbers by
 source, then running sums within a bucket. Joins are on (source, bucket), so a hot
 source is spread like any other. What meets by source alone are counts by size, as
-many as its documents have sizes (no more than the longest has words). All of it is
-SQL expressions in the JVM.
+many as its documents have sizes (no more than the longest has words); and the sources
+meet in one task, a few numbers each. All of it is SQL expressions in the JVM.
 
 Null texts have size 0; null sources are a source of their own, the last; rows
 that repeat a doc_id are documents of their own; rows alike in id, source and

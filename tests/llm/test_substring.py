@@ -121,6 +121,7 @@ def test_very_long_text_and_ties(spark):
 
 def test_false_matches_are_found_and_avoided(spark, monkeypatch):
     """With few bits most fingerprints clash; verification must see it, and never let it through."""
+    monkeypatch.setattr(substring, "SALTS", 2)
     monkeypatch.setattr(substring.Layout, "of", classmethod(lambda cls, n, width, per: cls(width, 1, 4)))
     rows = corpus(9, 40)
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, x int")
