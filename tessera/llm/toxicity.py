@@ -13,8 +13,7 @@ on what reaches the driver, with ``n_features``); scores are for every row.
 
 Null and empty texts have no features; their score is that of the bias. Rows
 whose label is null teach nothing; without labels every score is next to 0. A label
-whose doc_id repeats in the documents is learnt for each of these rows; of rows alike,
-which of them the bound leaves out makes no difference. Texts are read whole, in parts.
+whose doc_id repeats in the documents is learnt for each of its texts, once each. Texts are read whole, in parts.
 Empty documents give an empty result. The query reports how many labelled texts had a
 counterfactual: where none names a group, the model is plain logistic regression.
 """
@@ -215,11 +214,14 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, n_featur
     """From documents (doc_id, text) and labels (doc_id, toxic: 0 or 1)."""
     few = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     few = few.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(max_rows)
-    sample = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")
-    # documents may repeat an id: the bound holds for rows, too
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(max_rows)
-    # the limit leaves one partition
-    sample = stage(sample.repartition(max(1, -(-max_rows // SAMPLE_ROWS)), F.xxhash64("doc_id", "text")), "labelled")
+    # documents may repeat an id: the bound holds for texts, too. It is found by keys alone, as what
+    # a limit keeps of every task meets in one
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("key"))
+    keys = keyed.drop("text").join(F.broadcast(few), "doc_id").distinct()
+    keys = keys.orderBy(F.xxhash64("doc_id"), "doc_id", "key", "toxic").limit(max_rows)
+    sample = keyed.join(F.broadcast(keys), ["doc_id", "key"])
+    sample = sample.repartition(max(1, -(-max_rows // SAMPLE_ROWS)), "doc_id", "key").dropDuplicates(["doc_id", "key", "toxic"])
+    sample = stage(sample.drop("key"), "labelled")
     rows = presence(sample).toArrow()
     seen, totals = np.zeros((2, 1 << SLOT_BITS)), np.zeros(2)
     for r in sample.groupBy("toxic").count().collect():
