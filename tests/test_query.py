@@ -109,7 +109,7 @@ def test_plan_is_pushed_down(spark, entries, tmp_path):
     catalog.write(entries, str(tmp_path))
     df = page_frame(catalog.read(spark, str(tmp_path)), Query("app", key_prefix="/docs/", tiers=["Hot"], page_size=2))
     plan = df.select("content_hash", "created_at")._jdf.queryExecution().toString()
-    assert "PartitionFilters" in plan and "namespace_id" in plan.split("PartitionFilters")[1][:120]
+    assert "PartitionFilters" in plan and "folder" in plan.split("PartitionFilters")[1][:120]
     assert "StringStartsWith(object_key,/docs/)" in plan and "TakeOrderedAndProject" in plan
     assert sorted(hashes(df)) == ["a1", "a2"]
     assert hashes(catalog.scan(catalog.read(spark, str(tmp_path)), "other")) == ["zz"]
