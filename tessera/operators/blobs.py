@@ -63,12 +63,12 @@ def exists(blocks: DataFrame, hashes: DataFrame) -> DataFrame:
 
 
 def erase(entries: DataFrame, blocks: DataFrame, manifests: DataFrame, hashes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entries, blocks and manifests without these objects; chunks that others use stay."""
+    """Entries, blocks and manifests without these objects; blocks that others use, whole or as a chunk, stay."""
     gone = hashes.select("content_hash")
     left = manifests.join(gone, "content_hash", "left_anti")
-    chunks = manifests.join(gone, "content_hash", "left_semi").select(F.col("chunk_hash").alias("content_hash")).distinct()
-    chunks = chunks.join(left.select(F.col("chunk_hash").alias("content_hash")), "content_hash", "left_anti")
     kept = entries.join(gone, "content_hash", "left_anti")
-    # a chunk that is itself an object's content stays with it
-    chunks = chunks.join(kept.select("content_hash"), "content_hash", "left_anti")
-    return kept.select(*entries.columns), blocks.join(gone.unionByName(chunks), "content_hash", "left_anti"), left
+    theirs = gone.unionByName(manifests.join(gone, "content_hash", "left_semi").select(F.col("chunk_hash").alias("content_hash"))).distinct()
+    # an erased object's bytes may be a chunk of another, and its chunk another's whole content
+    used = left.select(F.col("chunk_hash").alias("content_hash")).unionByName(kept.select("content_hash"))
+    unused = theirs.join(used, "content_hash", "left_anti")
+    return kept.select(*entries.columns), blocks.join(unused, "content_hash", "left_anti"), left

@@ -238,11 +238,12 @@ c AS (SELECT content_hash, sha256(unhex(substr(x, (i * 2048 + 1)::INT, 2048))) A
 
 @job("q_erase_entries", f"WITH {_ERASED} SELECT 'entry' AS what, content_hash FROM w WHERE content_hash NOT IN (SELECT h FROM gone) UNION ALL SELECT 'block', content_hash FROM (SELECT content_hash FROM w WHERE n <= 1024 AND content_hash NOT IN (SELECT h FROM gone) UNION SELECT chunk FROM c WHERE content_hash NOT IN (SELECT h FROM gone))")
 def _erase_entries(spark: SparkSession, sf: str) -> DataFrame:
-    once = _contents(spark, sf).select("content").distinct()
-    gone = blobs.hashed(_contents(spark, sf).where("doc_id % 2 = 0")).select("content_hash").distinct()
-    whole = blobs.hashed(once.where("octet_length(content) <= 1024")).select("content_hash", "content")
-    blocks = whole.unionByName(blobs.chunk_blobs(once, 1024)).dropDuplicates(["content_hash"])
-    entries, left, _ = blobs.erase(catalog.from_documents(spark, sf), blocks, blobs.manifest(once, 1024), gone)
+    c = _contents(spark, sf)
+    gone = blobs.hashed(c.where("doc_id % 2 = 0")).select("content_hash").distinct()
+    whole = blobs.hashed(c.where("octet_length(content) <= 1024")).select("content_hash", "content")
+    # copies go by their hashes, so that no texts are shuffled
+    blocks = whole.unionByName(blobs.chunk_blobs(c, 1024)).dropDuplicates(["content_hash"])
+    entries, left, _ = blobs.erase(catalog.from_documents(spark, sf), blocks, blobs.manifest(c, 1024).distinct(), gone)
     return entries.select(F.lit("entry").alias("what"), "content_hash").unionByName(left.select(F.lit("block").alias("what"), "content_hash"))
 
 

@@ -36,5 +36,18 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+@pytest.mark.parametrize("name", ["q_erase_entries"])
+def test_erase_where_texts_are_chunks_of_others(spark, tmp_path, name):
+    texts = ["This.", "a" * 1024 + "This.", "b" * 1024 + "De.", "De.", "c" * 1024, "c" * 2048 + "A.", "d" * 1024 + "A.", "e", "A."]
+    con = duckdb.connect()
+    con.execute("create table documents as select unnest(range(len($t)))::bigint as doc_id, unnest($t) as text, 'en' as lang, 'src0' as source, 9::bigint as n_chars", {"t": texts})
+    con.execute("create table labels as select doc_id, 1 as quality, 0 as toxic from documents")
+    for t in ("documents", "labels"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    df = __spark_entry__.queries()[name](spark, str(tmp_path))
+    want = con.execute(f"select {', '.join(df.columns)} from ({__spark_entry__.oracle_sql()[name]})").fetchall()
+    assert sorted(map(tuple, df.collect())) == sorted(want)
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0

@@ -123,6 +123,18 @@ def test_dedup_and_erase(spark):
     assert {r.content_hash for r in b.collect()} == {r.chunk_hash for r in left.collect()}
 
 
+def test_erased_bytes_that_others_use_stay(spark):
+    df = spark.createDataFrame([(b"one" * 300 + b"This.",), (b"This.",), (b"two" * 300 + b"De.",), (b"De.",), (b"A.",)], "content binary")
+    sha = lambda *bs: {hashlib.sha256(b).hexdigest() for b in bs}
+    m = blobs.manifest(df, 900)
+    store_ = blobs.new_blobs(df.where("octet_length(content) <= 900")).select("content_hash", "content").unionByName(blobs.chunk_blobs(df, 900)).dropDuplicates(["content_hash"])
+    gone = spark.createDataFrame([(h,) for h in sha(b"This.", b"two" * 300 + b"De.", b"A.")], "content_hash string")
+    e, b, left = blobs.erase(blobs.hashed(df).select("content_hash"), store_, m, gone)
+    assert {r.content_hash for r in e.collect()} == sha(b"one" * 300 + b"This.", b"De.")
+    assert {r.content_hash for r in b.collect()} == sha(b"one" * 300, b"This.", b"De.")
+    assert {r.chunk_hash for r in left.collect()} == sha(b"one" * 300, b"This.")
+
+
 def test_maintenance(spark):
     entries = table(spark, row("there", "k", "x", "Hot", "Stored", 1, 1), row("gone", "k", "x", "Hot", "Stored", 1, 1), row(" ", "k", "x", "Hot", "Stored", 1, 1))
     blocks = spark.createDataFrame([("there",), ("loose",)], "content_hash string")
