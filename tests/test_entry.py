@@ -36,7 +36,7 @@ def test_query_matches_sql(spark, duck, name):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
-@pytest.mark.parametrize("name", ["q_erase_entries"])
+@pytest.mark.parametrize("name", ["q_erase_entries", "q_erase"])
 def test_erase_where_texts_are_chunks_of_others(spark, tmp_path, name):
     texts = ["This.", "a" * 1024 + "This.", "b" * 1024 + "De.", "De.", "c" * 1024, "c" * 2048 + "A.", "d" * 1024 + "A.", "e", "A."]
     con = duckdb.connect()
